@@ -152,3 +152,119 @@ def ratio_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .where(F.col("value").isNotNull())
     )
+
+
+# The quarters of the order dates, FY95Q2 to FY01Q4, as labels.
+PERIODS = [f"FY{y % 100:02d}Q{q}" for y in range(1995, 2002) for q in (1, 2, 3, 4)][1:]
+
+
+def with_names(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Add the organisation path and the owner's name and partner."""
+    return rows.join(org_dim(spark, sf_dir), "orgunituid", "left").join(
+        owner_dim(spark, sf_dir), "mech_code", "left"
+    )
+
+
+def country_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries with their planning level: regional units by nation, others whole.
+
+    Nations with an even key plan at level 4, with an odd key at level 5.  EUROPE
+    plans at level 5, AFRICA at 4, and the rest have no planning level (0).
+    """
+    nation = table(spark, sf_dir, "nation")
+    region = table(spark, sf_dir, "region")
+    joined = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    regional = F.col("r_name").isin("AMERICA", "ASIA")
+    level = (
+        F.when(regional, F.col("n_nationkey") % 2 + 4)
+        .when(F.col("r_name") == "AFRICA", 4)
+        .when(F.col("r_name") == "EUROPE", 5)
+        .otherwise(0)
+    )
+    unit = F.when(regional, F.concat("r_name", F.lit(" Region"))).otherwise(F.col("r_name"))
+    return joined.select(
+        unit.alias("operatingunit"),
+        F.when(regional, F.col("n_name")).otherwise(F.col("r_name")).alias("countryname"),
+        level.cast("int").alias("psnu_lvl"),
+    ).distinct()
+
+
+def agency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agency ids of the raw extract and their labels."""
+    item = _agency(F.substring("o_orderpriority", 1, 1))
+    return (
+        table(spark, sf_dir, "orders")
+        .select(F.concat(F.lit("id"), item).alias("id"), item.alias("item"))
+        .distinct()
+    )
+
+
+def raw_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel and the ratio rows as an all-text extract, the way one is landed."""
+    stock = orders_panel(spark, sf_dir).withColumns(
+        {"indicator": F.lit("TX_CURR"), "numeratordenom": F.lit("N")}
+    )
+    rows = with_names(spark, sf_dir, stock.unionByName(ratio_panel(spark, sf_dir)))
+    quarter = (F.col("period_idx") - 1) % 4
+    year = ((F.col("period_idx") - 1 - quarter) / 4).cast("int") - (quarter == 0).cast("int")
+    months = F.array(*[F.lit(m) for m in ("Oct to Dec", "Jan to Mar", "Apr to Jun", "Jul to Sep")])
+    regional = F.col("operatingunit").isin("AMERICA", "ASIA")
+    owner = F.when(
+        F.col("mech_code") == "5", F.concat(F.lit("00000 De-dup - "), "mech_name")
+    ).otherwise(F.concat_ws(" - ", F.lit("17"), "mech_code", "mech_name"))
+    return rows.select(
+        F.concat_ws(" ", F.get(months, quarter), year.cast("string")).alias("Period"),
+        F.lit("Global").alias("orglvl_1"),
+        F.lit("World").alias("orglvl_2"),
+        F.when(regional, F.concat("operatingunit", F.lit(" Region")))
+        .otherwise(F.col("operatingunit"))
+        .alias("orglvl_3"),
+        F.col("snu1").alias("orglvl_4"),
+        F.concat_ws(" ", "snu1", F.lit("district"), (F.col("orgunituid") % 10).cast("string")).alias(
+            "orglvl_5"
+        ),
+        F.col("facility").alias("Organisation unit"),
+        F.col("orgunituid").cast("string").alias("orgunituid"),
+        F.concat(F.lit("id"), "fundingagency").alias("Funding Agency"),
+        owner.alias("Funding Mechanism"),
+        F.col("indicator").alias("Technical Area"),
+        F.when(F.col("numeratordenom") == "D", "Top Level Denominator")
+        .otherwise("Top Level Numerator")
+        .alias("Top Level"),
+        F.col("value").cast("decimal(18,2)").cast("string").alias("Value"),
+    )
+
+
+def fiscal_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock and denominator sums by unit, group, owner and partner, quarters as columns."""
+    stock = orders_panel(spark, sf_dir).withColumns(
+        {
+            "indicator": F.lit("TX_CURR"),
+            "numeratordenom": F.lit("N"),
+            "standardizeddisaggregate": F.lit("Total Numerator"),
+        }
+    )
+    den = (
+        ratio_panel(spark, sf_dir)
+        .where(F.col("numeratordenom") == "D")
+        .withColumn("standardizeddisaggregate", F.lit("Total Denominator"))
+    )
+    rows = with_names(spark, sf_dir, stock.unionByName(den))
+    quarter = (F.col("period_idx") - 1) % 4 + 1
+    keys = [
+        "fiscal_year",
+        "operatingunit",
+        "fundingagency",
+        "mech_code",
+        "primepartner",
+        "indicator",
+        "standardizeddisaggregate",
+        "numeratordenom",
+    ]
+    by_quarter = {
+        f"qtr{q}": F.when(quarter == q, F.col("value")) for q in (1, 2, 3, 4)
+    }
+    dated = rows.withColumns(
+        {"fiscal_year": ((F.col("period_idx") - quarter) / 4).cast("int"), **by_quarter}
+    )
+    return dated.groupBy(*keys).agg(*[exact_sum(c).alias(c) for c in by_quarter])
