@@ -14,8 +14,9 @@ from panelwise.functions.columns import as_col
 
 def fiscal_index(date: Column | str, start_month: int = 10) -> Column:
     """Index of the fiscal quarter that holds a date."""
-    shifted = F.add_months(as_col(date), (13 - start_month) % 12)
-    return (F.year(shifted) * 4 + F.quarter(shifted)).cast("int")
+    d = as_col(date)
+    months = F.year(d) * 12 + F.month(d) - 1 + (13 - start_month) % 12
+    return (F.floor(months / 3) + 1).cast("int")
 
 
 def fiscal_year(index: Column | str) -> Column:
@@ -30,8 +31,8 @@ def fiscal_quarter(index: Column | str) -> Column:
 def index_label(index: Column | str) -> Column:
     """``FYyyQq`` label of an index; null for a null index."""
     i = as_col(index)
-    year = (fiscal_year(i) % 100).cast("string")
-    return F.concat(F.lit("FY"), F.lpad(year, 2, "0"), F.lit("Q"), fiscal_quarter(i).cast("string"))
+    year = F.substring(fiscal_year(i).cast("string"), 3, 2)
+    return F.concat(F.lit("FY"), year, F.lit("Q"), fiscal_quarter(i).cast("string"))
 
 
 def fiscal_label(date: Column | str, start_month: int = 10) -> Column:

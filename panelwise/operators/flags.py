@@ -1,6 +1,9 @@
 """Flags on a stock panel: lone observations, several owners, ends and their
 type, net-change method and ratio validity.
 
+Periods stay integer indexes here, also in ``last_obs_site`` and
+``last_obs_sitexmech``; ``label_periods`` turns them into labels at the end.
+
 A site may hold any number of owners, so no window here runs over the owners of
 a site.  What is known per (site, owner) comes from windows over the periods of
 that pair; what is known per site comes from a table with one row per (site,
@@ -29,6 +32,15 @@ from panelwise.spec import (
 )
 
 
+def _periods(panel: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Period table of all rows (``all``) and of those with a value (``seen``)."""
+    return period_table(panel, spec, seen=F.col(spec.value).isNotNull())
+
+
+def _seen(panel: DataFrame, spec: PanelSpec) -> DataFrame:
+    return panel.where(F.col(spec.value).isNotNull())
+
+
 def flag_lone_obs(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Rows with a value whose neighbours on the period grid have none.
 
@@ -43,13 +55,13 @@ def flag_lone_obs(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame
     tuples = F.sort_array(F.collect_set(tup).over(pair))
     idx, seq = F.col(spec.index), F.col("_seq")
     placed = (
-        on_periods(panel, period_table(panel, spec), spec)
+        on_periods(panel, _periods(panel, spec), spec)
         .withColumn("_tuples", tuples)
         .where(F.col(spec.value).isNotNull())
         .select(
             *panel.columns,
-            (F.col("_pos") * F.size("_tuples") + F.array_position("_tuples", tup)).alias("_seq"),
-            ((idx == F.col("_first_idx")) | (idx == F.col("_last_idx"))).alias("_edge"),
+            (F.col("all_pos") * F.size("_tuples") + F.array_position("_tuples", tup)).alias("_seq"),
+            ((idx == F.col("all_first")) | (idx == F.col("all_last"))).alias("_edge"),
         )
     )
     w = pair.orderBy("_seq")
@@ -59,66 +71,68 @@ def flag_lone_obs(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame
     return placed.select(*panel.columns, (~F.col("_edge") & ~near).alias("flag_loneobs"))
 
 
-def site_periods(rows: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """One row per (site, period): what the flags need to know about the site.
+def site_periods(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """One row per (site, period) with a value: what the flags need of the site.
 
     ``flag_multimech_site``, ``last_obs_site``, the first owner and group of the
     site's next observed period, whether the one and two periods before had
-    several owners, and whether two periods before was observed.
+    several owners, whether two periods before was observed, and whether this is
+    the last period of the table.
     """
-    w = W.partitionBy(spec.site).orderBy("_pos")
+    w = W.partitionBy(spec.site).orderBy("seen_pos")
     one_back, two_back = w.rangeBetween(-1, -1), w.rangeBetween(-2, -2)
     multi = F.col("flag_multimech_site")
     first = F.struct(F.col(spec.owner).alias("owner"), F.col(spec.group).alias("group"))
-    per_site = rows.groupBy(spec.site, spec.index).agg(
+    per_site = _seen(panel, spec).groupBy(spec.site, spec.index).agg(
         (F.count(F.lit(1)) > 1).alias("flag_multimech_site"), F.min(first).alias("_first")
     )
-    return on_periods(per_site, period_table(rows, spec), spec).select(
+    return on_periods(per_site, _periods(panel, spec), spec).select(
         spec.site,
         spec.index,
         multi,
-        F.max(spec.index).over(W.partitionBy(spec.site)).alias("_last_site"),
+        F.max(spec.index).over(W.partitionBy(spec.site)).alias("last_obs_site"),
         F.lead("_first").over(w).alias("_next"),
         false_if_null(F.max(multi).over(one_back)).alias("_multi_1"),
         false_if_null(F.max(multi).over(two_back)).alias("_multi_2"),
         (F.count(F.lit(1)).over(two_back) > 0).alias("_seen_2"),
-        (F.col(spec.index) == F.col("_last_idx")).alias("_final"),
+        (F.col(spec.index) == F.col("seen_last")).alias("_final"),
     )
 
 
-def _on_site_period(rows: DataFrame, spec: PanelSpec) -> DataFrame:
-    return rows.join(site_periods(rows, spec), [spec.site, spec.index])
+def _on_site_period(rows: DataFrame, panel: DataFrame, spec: PanelSpec) -> DataFrame:
+    return rows.join(site_periods(panel, spec), [spec.site, spec.index])
+
+
+def _public(df: DataFrame, *drop: str) -> DataFrame:
+    return df.drop(*drop, *[c for c in df.columns if c.startswith("_")])
 
 
-def flag_multi_owner(rows: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def flag_multi_owner(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Flag site-periods with more than one row."""
+    rows = _seen(panel, spec)
     per_site = rows.groupBy(spec.site, spec.index).agg(
         (F.count(F.lit(1)) > 1).alias("flag_multimech_site")
     )
     return rows.join(per_site, [spec.site, spec.index])
 
 
-def _end_columns(spec: PanelSpec) -> dict[str, Column]:
-    last = F.col("_last_pair")
-    return {
-        "last_obs_site": index_label("_last_site"),
-        "last_obs_sitexmech": index_label(last),
-        "flag_end_sitexmech": (F.col(spec.index) == last) & ~F.col("_final"),
-    }
+def _end_column(spec: PanelSpec) -> Column:
+    return (F.col(spec.index) == F.col("last_obs_sitexmech")) & ~F.col("_final")
 
 
 def _with_last_pair(rows: DataFrame, spec: PanelSpec) -> DataFrame:
-    return rows.withColumn(
-        "_last_pair", F.max(spec.index).over(W.partitionBy(spec.site, spec.owner))
-    )
+    last = F.max(spec.index).over(W.partitionBy(spec.site, spec.owner))
+    return rows.withColumn("last_obs_sitexmech", last)
+
 
+def _with_ends(panel: DataFrame, spec: PanelSpec) -> DataFrame:
+    pairs = _with_last_pair(_seen(panel, spec), spec)
+    return _on_site_period(pairs, panel, spec).withColumn("flag_end_sitexmech", _end_column(spec))
 
-def flag_end(rows: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+
+def flag_end(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Last period of the site and of the pair; the pair ends before the table does."""
-    out = _on_site_period(_with_last_pair(rows, spec), spec)
-    return out.withColumns(_end_columns(spec)).drop(
-        *[c for c in out.columns if c.startswith("_")]
-    )
+    return _public(_with_ends(panel, spec), "flag_multimech_site")
 
 
 def _type_columns(spec: PanelSpec, labels: EndLabels) -> dict[str, Column]:
@@ -131,7 +145,7 @@ def _type_columns(spec: PanelSpec, labels: EndLabels) -> dict[str, Column]:
     end = F.col("flag_end_sitexmech")
     group, owner, nxt = F.col(spec.group), F.col(spec.owner), F.col("_next")
     end_type = (
-        F.when(end & (F.col("_last_pair") == F.col("_last_site")), labels.out)
+        F.when(end & (F.col("last_obs_sitexmech") == F.col("last_obs_site")), labels.out)
         .when(end & F.col("flag_multimech_site"), labels.consolidate)
         .when(end & (group != nxt["group"]), labels.agency)
         .when(end & (owner != nxt["owner"]), labels.owner)
@@ -144,31 +158,25 @@ def _type_columns(spec: PanelSpec, labels: EndLabels) -> dict[str, Column]:
     }
 
 
+def _with_end_types(rows: DataFrame, spec: PanelSpec, labels: EndLabels) -> DataFrame:
+    for name, c in _type_columns(spec, labels).items():
+        rows = rows.withColumn(name, c)
+    return rows
+
+
 def classify_end(
-    rows: DataFrame, spec: PanelSpec = DEFAULT_SPEC, labels: EndLabels = EndLabels()
+    panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, labels: EndLabels = EndLabels()
 ) -> DataFrame:
     """``end_type`` of every row that ends a (site, owner) pair."""
-    out = _with_end_types(rows, spec, labels)
-    return out.drop(
-        "agency_exiting", "agency_inheriting", *[c for c in out.columns if c.startswith("_")]
-    )
+    out = _with_end_types(_with_ends(panel, spec), spec, labels)
+    return _public(out, "agency_exiting", "agency_inheriting")
 
 
 def transition_parties(
-    rows: DataFrame, spec: PanelSpec = DEFAULT_SPEC, labels: EndLabels = EndLabels()
+    panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, labels: EndLabels = EndLabels()
 ) -> DataFrame:
     """``end_type`` with the group that leaves and the group that takes over."""
-    out = _with_end_types(rows, spec, labels)
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
-
-
-def _with_end_types(rows: DataFrame, spec: PanelSpec, labels: EndLabels) -> DataFrame:
-    out = _on_site_period(_with_last_pair(rows, spec), spec).withColumns(
-        _end_columns(spec)
-    )
-    for name, c in _type_columns(spec, labels).items():
-        out = out.withColumn(name, c)
-    return out
+    return _public(_with_end_types(_with_ends(panel, spec), spec, labels))
 
 
 def _method_column() -> Column:
@@ -192,29 +200,37 @@ def _valid_column() -> Column:
     )
 
 
-def assign_method(rows: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    out = _on_site_period(rows, spec).withColumn("method", _method_column())
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+def assign_method(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    out = _on_site_period(_seen(panel, spec), panel, spec)
+    return _public(out.withColumn("method", _method_column()), "last_obs_site")
 
 
-def flag_ratio_valid(rows: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    out = _on_site_period(rows, spec).withColumn("vlc_valid", _valid_column())
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+def flag_ratio_valid(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    out = _on_site_period(_seen(panel, spec), panel, spec)
+    return _public(out.withColumn("vlc_valid", _valid_column()), "last_obs_site")
 
 
 def flag_panel(
     panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, labels: EndLabels = EndLabels()
 ) -> DataFrame:
-    """All flags in one pass: two pair windows, one site-period table, one join."""
-    seen = panel.where(F.col(spec.value).isNotNull())
+    """All flags in one pass: windows per pair, one site-period table, one join."""
     pairs = _with_last_pair(flag_lone_obs(panel, spec), spec)
-    out = pairs.join(site_periods(seen, spec), [spec.site, spec.index]).withColumns(
-        _end_columns(spec)
+    ends = _on_site_period(pairs, panel, spec).withColumns(
+        {
+            "flag_end_sitexmech": _end_column(spec),
+            "method": _method_column(),
+            "vlc_valid": _valid_column(),
+        }
+    )
+    return _with_end_types(ends, spec, labels).select(*panel.columns, *FLAG_COLUMNS)
+
+
+def label_periods(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """Labels for the period and for the last observed periods."""
+    last = [c for c in ("last_obs_site", "last_obs_sitexmech") if c in df.columns]
+    return df.withColumns(
+        {spec.period: index_label(spec.index), **{c: index_label(c) for c in last}}
     )
-    for name, c in _type_columns(spec, labels).items():
-        out = out.withColumn(name, c)
-    out = out.withColumns({"method": _method_column(), "vlc_valid": _valid_column()})
-    return out.select(*panel.columns, *FLAG_COLUMNS)
 
 
 def attach_metadata(

@@ -12,34 +12,48 @@ from pyspark.sql import functions as F
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 
-def period_table(
-    df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, chosen: Column | None = None
-) -> DataFrame:
-    """One row per distinct period of a table, with its place among the others.
-
-    Columns: the index, ``_pos`` (1, 2, ...), ``_next_idx`` (the following
-    period), ``_first_idx`` and ``_last_idx``, and ``_later_idx``: the first later
-    period with a row that meets ``chosen`` (any row by default).
+def period_arrays(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, **axes: Column) -> DataFrame:
+    """One row: the sorted distinct periods as ``all``, and for each named
+    condition those with a row that meets it.
 
-    There are four fiscal quarters a year, so the table follows the calendar and
-    not the row count; that is the bound that makes it safe to broadcast.
+    There are four fiscal quarters a year, so the arrays follow the calendar and
+    not the row count.
     """
     idx = F.col(spec.index)
-    picked = idx if chosen is None else F.when(chosen, idx)
-    axis = df.where(idx.isNotNull()).agg(
-        F.array_sort(F.collect_set(idx)).alias("axis"), F.collect_set(picked).alias("picked")
-    )
-    later = F.array_min(F.filter("picked", lambda p: p > F.col(spec.index)))
-    return axis.select("axis", "picked", F.posexplode("axis").alias("_at", spec.index)).select(
-        spec.index,
-        (F.col("_at") + 1).alias("_pos"),
-        F.get("axis", F.col("_at") + 1).alias("_next_idx"),
-        F.array_min("axis").alias("_first_idx"),
-        F.array_max("axis").alias("_last_idx"),
-        later.alias("_later_idx"),
+    named = {"all": idx, **{name: F.when(cond, idx) for name, cond in axes.items()}}
+    return df.where(idx.isNotNull()).agg(
+        *[F.array_sort(F.collect_set(c)).alias(name) for name, c in named.items()]
     )
 
 
+def explode_periods(arrays: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """Period table from ``period_arrays``: one row per period of ``all``.
+
+    For each axis: ``_pos`` (place on it, null when not on it), ``_next`` (first
+    later period on it), ``_first`` and ``_last``.
+    """
+    idx = F.col(spec.index)
+    columns = []
+    for axis in arrays.columns:
+        later = F.filter(axis, lambda p: p > F.col(spec.index))
+        columns += [
+            F.nullif(F.array_position(axis, idx), F.lit(0)).cast("int").alias(f"{axis}_pos"),
+            F.array_min(later).alias(f"{axis}_next"),
+            F.array_min(axis).alias(f"{axis}_first"),
+            F.array_max(axis).alias(f"{axis}_last"),
+        ]
+    return arrays.withColumn(spec.index, F.explode("all")).select(spec.index, *columns)
+
+
+def period_table(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, **axes: Column) -> DataFrame:
+    """One row per distinct period, with its place among the others.
+
+    A step along the grid is a lookup in this table.  It holds one row per
+    quarter, whatever the size of the panel, which makes it safe to broadcast.
+    """
+    return explode_periods(period_arrays(df, spec, **axes), spec)
+
+
 def on_periods(df: DataFrame, periods: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Join a period table; rows of periods that are not in it get nulls."""
     return df.join(F.broadcast(periods), spec.index, "left")
@@ -97,6 +111,8 @@ def with_exits(
     keys: list[str],
     periods: DataFrame,
     spec: PanelSpec = DEFAULT_SPEC,
+    axis: str = "all",
+    also: str | None = None,
 ) -> DataFrame:
     """Observed rows plus one row in the period after a run of observations ends.
 
@@ -104,21 +120,21 @@ def with_exits(
     period) and ``observed``.  On exit rows the stock is 0.  This is all of the
     completed grid that can have a non-zero change, at most three times the input.
 
-    Where ``_later_idx`` of the period table lies beyond the next period and the
-    key is still absent there, it gets a row there too.  Each window holds one
-    row per period of one key.
+    ``axis`` names the periods to step along.  Where the next period on the axis
+    ``also`` lies beyond that step and the key is still absent there, it gets a
+    row there too.  Each window holds one row per period of one key.
     """
     idx, val = F.col(spec.index), F.col(spec.value)
-    nxt, later, seen_next = F.col("_next_idx"), F.col("_later_idx"), F.col("_seen_next")
+    nxt, seen_next = F.col(f"{axis}_next"), F.col("_seen_next")
     w = W.partitionBy(*keys).orderBy(spec.index)
     prior = (
-        F.when(F.lag("_next_idx").over(w) == idx, F.lag(spec.value).over(w))
-        .when(idx != F.col("_first_idx"), 0.0)
+        F.when(F.lag(nxt).over(w) == idx, F.lag(spec.value).over(w))
+        .when(idx != F.col(f"{axis}_first"), 0.0)
     )
+    steps = [nxt] if also is None else [nxt, F.col(f"{also}_next")]
     placed = on_periods(df, periods, spec).select(
         *df.columns,
-        "_next_idx",
-        "_later_idx",
+        *steps,
         F.lead(spec.index).over(w).alias("_seen_next"),
         prior.alias("_prior"),
     )
@@ -132,15 +148,14 @@ def with_exits(
         )
 
     exits = nxt.isNotNull() & (seen_next.isNull() | (seen_next > nxt))
-    still_absent = (later > nxt) & (seen_next.isNull() | (seen_next > later))
-    rows = F.array(
-        row(idx, val, F.col("_prior"), True),
-        F.when(exits, row(nxt, 0.0, val, False)),
-        F.when(exits & still_absent, row(later, 0.0, 0.0, False)),
-    )
+    rows = [row(idx, val, F.col("_prior"), True), F.when(exits, row(nxt, 0.0, val, False))]
+    if also is not None:
+        later = F.col(f"{also}_next")
+        still_absent = (later > nxt) & (seen_next.isNull() | (seen_next > later))
+        rows.append(F.when(exits & still_absent, row(later, 0.0, 0.0, False)))
     rest = [c for c in df.columns if c not in (spec.index, spec.value)]
     return (
-        placed.select(*rest, F.explode(rows).alias("_row"))
+        placed.select(*rest, F.explode(F.array(*rows)).alias("_row"))
         .where(F.col("_row").isNotNull())
         .select(*rest, "_row.*")
     )

@@ -24,12 +24,12 @@ from panelwise.functions.columns import (
     null_if_zero,
     sum0,
 )
-from panelwise.functions.periods import index_label
 from panelwise.operators.grid import (
     complete,
+    explode_periods,
     fill_down_up,
     on_periods,
-    period_table,
+    period_arrays,
     with_exits,
 )
 from panelwise.spec import ADJUSTED, DEFAULT_SPEC, FLAG_COLUMNS, STANDARD, PanelSpec
@@ -42,6 +42,30 @@ def _single(flags: DataFrame) -> DataFrame:
     return flags.where(~F.col(MULTI))
 
 
+def net_change_periods(flags: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """Period table for all steps below, from one pass over the flags.
+
+    Axes: ``all`` periods; those with a ``single``-owner row; and ``kept``, those
+    that hold a row after ``combine_net_change``.  A period is kept if it has a
+    stock; if the period before has one (then something fell to 0); or, for the
+    site measure, if the single-owner period before has one.
+    """
+    has_stock, single = F.col(spec.value) != 0, ~F.col(MULTI)
+    arrays = period_arrays(
+        flags, spec, single=single, stock=has_stock, single_stock=single & has_stock
+    )
+
+    def had(p: Column, axis: str, stock: str) -> Column:
+        before = F.array_max(F.filter(axis, lambda q: q < p))
+        return F.coalesce(F.array_contains(stock, before), F.lit(False))
+
+    def kept(p: Column) -> Column:
+        site = F.array_contains("single", p) & had(p, "single", "single_stock")
+        return F.array_contains("stock", p) | had(p, "all", "stock") | site
+
+    return explode_periods(arrays.select("all", "single", F.filter("all", kept).alias("kept")), spec)
+
+
 def net_change_standard(
     flags: DataFrame, spec: PanelSpec = DEFAULT_SPEC, dense: bool = False
 ) -> DataFrame:
@@ -59,12 +83,10 @@ def net_change_standard(
         prior = F.lag(spec.value).over(W.partitionBy(*keys).orderBy(spec.index))
         rows = filled.withColumn("prior", prior)
     else:
-        rows = with_exits(flags, keys, period_table(flags, spec, chosen=~F.col(MULTI)), spec)
+        rows = with_exits(flags, keys, net_change_periods(flags, spec), spec, also="single")
     same = [c for c in rows.columns if c not in (spec.period, spec.value, "prior")]
-    label = [index_label(spec.index).alias(spec.period)] if spec.period in rows.columns else []
     return rows.select(
         *same,
-        *label,
         F.col(spec.value).alias(spec.stock),
         (F.col(spec.value) - F.col("prior")).alias("tx_net_new"),
     )
@@ -88,7 +110,9 @@ def net_change_adjusted(
         prior = F.lag(spec.value).over(W.partitionBy(spec.site).orderBy(spec.index))
         rows = filled.withColumn("prior", prior)
     else:
-        rows = with_exits(single, [spec.site], period_table(single, spec), spec)
+        rows = with_exits(
+            single, [spec.site], net_change_periods(flags, spec), spec, axis="single"
+        )
     return (
         rows.select(
             *spec.key,
@@ -111,31 +135,6 @@ def combine_net_change(
     )
 
 
-def net_change_periods(flags: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Period table of the periods that hold at least one row after ``combine_net_change``.
-
-    A period is kept if it has a stock; if the period before has one (then
-    something fell to 0); or, for the site measure, if the single-owner period
-    before has one.  Works on one row per period, so the unpartitioned windows
-    see as many rows as there are quarters.
-    """
-    val, single = F.col(spec.value), ~F.col(MULTI)
-    per = flags.groupBy(spec.index).agg(
-        F.max(val != 0).alias("any_stock"),
-        F.max(single).alias("has_single"),
-        F.max(single & (val != 0)).alias("single_stock"),
-    )
-    w = W.orderBy(spec.index)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    last_single = F.last(F.when(F.col("has_single"), F.col("single_stock")), ignorenulls=True)
-    kept = per.withColumns(
-        {"_a": F.lag("any_stock").over(w), "_s": last_single.over(before)}
-    ).where(
-        F.col("any_stock") | false_if_null("_a") | (F.col("has_single") & false_if_null("_s"))
-    )
-    return period_table(kept, spec)
-
-
 CONTEXT = ["_n", "_other_exit", "_lag2_rows", "_lag2_periods"]
 
 
@@ -154,13 +153,15 @@ def site_context(
     rows in the period before, two rows back is that period if ``k + c >= 2`` and
     the one before it otherwise.
     """
-    periods = period_table(nn, spec) if periods is None else periods
+    if periods is None:
+        every = period_arrays(nn, spec)
+        periods = explode_periods(every.select("all", F.col("all").alias("kept")), spec)
     stock, change = F.col(spec.stock), F.col("tx_net_new")
-    w = W.partitionBy(spec.site).orderBy("_pos")
+    w = W.partitionBy(spec.site).orderBy("kept_pos")
 
     def back(c: str, steps: int, absent: float | int) -> Column:
         found = F.max(c).over(w.rangeBetween(-steps, -steps))
-        return F.when(F.col("_pos") > steps, F.coalesce(found, F.lit(absent)))
+        return F.when(F.col("kept_pos") > steps, F.coalesce(found, F.lit(absent)))
 
     per_site = nn.groupBy(spec.site, spec.index).agg(
         F.count(F.lit(1)).alias("_n"),

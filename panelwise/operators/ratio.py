@@ -60,7 +60,7 @@ def merge_ratio_numerator(
         .select(spec.site, spec.index, "_fill")
     )
     out = merged.join(facts, [spec.site, spec.index], "left")
-    columns = [*nn.columns, *RATIO_COLUMNS]
+    columns = [*nn.columns, *[c for c in wide.columns if c not in nn.columns]]
     changed = {
         "vlc_valid": F.coalesce(valid, false_if_null("_fill")).alias("vlc_valid"),
         "method": F.coalesce(F.col("method"), F.lit(NO_STOCK)).alias("method"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.functions.columns import percent_text
+from panelwise.functions.columns import any_nonzero, percent_text
 from panelwise.functions.periods import (
     calendar_quarter,
     fiscal_index,
@@ -25,6 +25,7 @@ from panelwise.plans import pipeline, reports
 from panelwise.sources import testbed as tb
 from panelwise.sources.readers import latest_snapshot, scope_extract
 from panelwise.sources.stages import stage
+from panelwise.spec import FLAG_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,8 +51,14 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
     return tb.orders_panel(spark, d)
 
 
+def _labelled(df: DataFrame, *columns: str) -> DataFrame:
+    """Period labels instead of indexes, at the very end of a plan."""
+    out = fl.label_periods(df)
+    return out.select(*columns) if columns else out.drop("period_idx")
+
+
 def _named_panel(spark: SparkSession, d: str) -> DataFrame:
-    return tb.with_names(spark, d, _panel(spark, d))
+    return fl.label_periods(tb.with_names(spark, d, _panel(spark, d)))
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +91,9 @@ def _net_change(spark: SparkSession, d: str, lag_mode: str = "rows") -> DataFram
 
 
 def _named_net_change(spark: SparkSession, d: str) -> DataFrame:
-    return fl.attach_metadata(_net_change(spark, d), tb.owner_dim(spark, d), tb.org_dim(spark, d))
+    return fl.label_periods(
+        fl.attach_metadata(_net_change(spark, d), tb.owner_dim(spark, d), tb.org_dim(spark, d))
+    )
 
 
 def _final(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +125,7 @@ def quarters(spark, d):
 
 
 def orders_panel(spark, d):
-    return _panel(spark, d).select(*PAIR, "fundingagency", "value")
+    return _labelled(_panel(spark, d))
 
 
 def clean_extract_query(spark, d):
@@ -145,59 +154,51 @@ def latest_snapshot_query(spark, d):
 def densify_panel(spark, d):
     narrow = _panel(spark, d).select("orgunituid", "mech_code", "period_idx", "value")
     grid = complete(stage(narrow, "panel"), "period_idx", ["orgunituid", "mech_code"], {"value": 0.0})
-    return grid.select("orgunituid", "mech_code", index_label("period_idx").alias("period"), "value")
+    return _labelled(grid)
 
 
 def fill_down_up_query(spark, d):
     narrow = stage(_panel(spark, d).select("orgunituid", "mech_code", "period_idx", "value"), "panel")
     keys = ["orgunituid", "mech_code"]
     filled = fill_down_up(complete(narrow, "period_idx", keys), ["value"], keys, ["period_idx"])
-    return filled.select(*keys, index_label("period_idx").alias("period"), "value")
+    return _labelled(filled)
 
 
 def sparse_exits(spark, d):
-    panel = stage(_panel(spark, d).drop("period"), "panel")
+    panel = stage(_panel(spark, d), "panel")
     rows = with_exits(panel, ["orgunituid", "mech_code"], period_table(panel))
-    return rows.select(
-        "orgunituid",
-        "mech_code",
-        index_label("period_idx").alias("period"),
-        "value",
-        "prior",
-        "observed",
-    )
+    return _labelled(rows, *PAIR, "value", "prior", "observed")
 
 
 # -- flags ----------------------------------------------------------------------
 
 
 def lone_obs(spark, d):
-    return fl.flag_lone_obs(stage(_panel(spark, d), "panel")).select(*PAIR, "flag_loneobs")
+    return _labelled(fl.flag_lone_obs(stage(_panel(spark, d), "panel")), *PAIR, "flag_loneobs")
 
 
 def multi_owner(spark, d):
-    return fl.flag_multi_owner(stage(_panel(spark, d), "panel")).select(*PAIR, "flag_multimech_site")
+    rows = fl.flag_multi_owner(stage(_panel(spark, d), "panel"))
+    return _labelled(rows, *PAIR, "flag_multimech_site")
 
 
 def end_flags(spark, d):
-    return fl.flag_end(stage(_panel(spark, d), "panel")).select(
-        *PAIR, "last_obs_site", "last_obs_sitexmech", "flag_end_sitexmech"
-    )
+    rows = fl.flag_end(stage(_panel(spark, d), "panel"))
+    return _labelled(rows, *PAIR, "last_obs_site", "last_obs_sitexmech", "flag_end_sitexmech")
 
 
 def end_types(spark, d):
-    return fl.classify_end(stage(_panel(spark, d), "panel")).select(
-        *PAIR, "flag_end_sitexmech", "end_type"
-    )
+    rows = fl.classify_end(stage(_panel(spark, d), "panel"))
+    return _labelled(rows, *PAIR, "flag_end_sitexmech", "end_type")
 
 
 def transition_parties(spark, d):
     out = fl.transition_parties(stage(_panel(spark, d), "panel"))
-    return out.select(*PAIR, "end_type", "agency_exiting", "agency_inheriting")
+    return _labelled(out, *PAIR, "end_type", "agency_exiting", "agency_inheriting")
 
 
 def method_validity(spark, d):
-    return _flags(spark, d).select(*PAIR, "method", "vlc_valid")
+    return _labelled(_flags(spark, d), *PAIR, "method", "vlc_valid")
 
 
 def attach_metadata(spark, d):
@@ -205,13 +206,11 @@ def attach_metadata(spark, d):
 
 
 def part_supplier_flags(spark, d):
-    flags = pipeline.flags_stage(tb.lineitem_panel(spark, d))
-    return flags.drop("period_idx")
+    return _labelled(pipeline.flags_stage(tb.lineitem_panel(spark, d)))
 
 
 def part_supplier_net_change(spark, d):
-    nn = pipeline.net_change_stage(tb.lineitem_panel(spark, d))
-    return nn.drop("period_idx")
+    return _labelled(pipeline.net_change_stage(tb.lineitem_panel(spark, d)))
 
 
 def ends_out(spark, d):
@@ -229,23 +228,17 @@ def ever_multi_sites(spark, d):
 
 def net_change_standard(spark, d):
     rows = nc.net_change_standard(_staged_flags(spark, d))
-    return rows.where(nc.any_nonzero("tx_curr", "tx_net_new")).select(*PAIR, "tx_curr", "tx_net_new")
+    return _labelled(rows.where(any_nonzero("tx_curr", "tx_net_new")), *PAIR, "tx_curr", "tx_net_new")
 
 
 def net_change_adjusted(spark, d):
-    rows = nc.net_change_adjusted(_staged_flags(spark, d))
-    return rows.select(
-        "orgunituid",
-        "mech_code",
-        index_label("period_idx").alias("period"),
-        "tx_curr_lag_site",
-        "tx_net_new_adj",
-    )
+    return _labelled(nc.net_change_adjusted(_staged_flags(spark, d)))
 
 
 def net_change_combined(spark, d):
     rows = nc.net_change_plus(_combined(spark, d))
-    return rows.select(
+    return _labelled(
+        rows,
         *PAIR,
         "tx_curr",
         "tx_net_new",
@@ -257,24 +250,24 @@ def net_change_combined(spark, d):
 
 def transfers(spark, d):
     rows = nc.attribute_transfers(stage(_combined(spark, d), "net_change"))
-    return rows.select(*PAIR, "tx_xfer")
+    return _labelled(rows, *PAIR, "tx_xfer")
 
 
 def flags_propagated(spark, d):
     rows = nc.attribute_transfers(stage(_combined(spark, d), "net_change"))
-    return nc.propagate_flags(rows).select(*PAIR, "tx_xfer", *nc.FLAG_COLUMNS)
+    return _labelled(nc.propagate_flags(rows), *PAIR, "tx_xfer", *FLAG_COLUMNS)
 
 
 def net_change_full(spark, d):
-    return _net_change(spark, d).drop("period_idx")
+    return _labelled(_net_change(spark, d))
 
 
 def lag2_rows(spark, d):
-    return _net_change(spark, d).select(*PAIR, "tx_curr_lag2_site")
+    return _labelled(_net_change(spark, d), *PAIR, "tx_curr_lag2_site")
 
 
 def lag2_periods(spark, d):
-    return _net_change(spark, d, "periods").select(*PAIR, "tx_curr_lag2_site")
+    return _labelled(_net_change(spark, d, "periods"), *PAIR, "tx_curr_lag2_site")
 
 
 def ratio_merge(spark, d):
@@ -294,7 +287,7 @@ def sites_with_owners(spark, d):
 
 
 def multi_share_by_period(spark, d):
-    return rounded(reports.multi_share(_panel(spark, d), ["period"]), "share_multi")
+    return rounded(reports.multi_share(fl.label_periods(_panel(spark, d)), ["period"]), "share_multi")
 
 
 def multi_share_wide(spark, d):
@@ -414,7 +407,7 @@ def ratio_compare_one_unit(spark, d):
 
 
 def site_history_wide(spark, d):
-    return reports.site_history_wide(_net_change(spark, d), tb.PERIODS)
+    return reports.site_history_wide(fl.label_periods(_net_change(spark, d)), tb.PERIODS)
 
 
 def queries() -> dict[str, Query]:
@@ -471,10 +464,12 @@ def queries() -> dict[str, Query]:
             _named_panel(s, d), UNIT_NAMES
         ),
         "sites_per_period": lambda s, d: reports.sites_per_period(
-            reports.after_first_period(_panel(s, d))
+            reports.after_first_period(fl.label_periods(_panel(s, d)))
         ).drop("period_idx"),
         "sites_headline": lambda s, d: rounded(
-            reports.sites_headline(reports.after_first_period(_panel(s, d))), "mean_sites"
+            reports.sites_headline(
+                reports.after_first_period(fl.label_periods(_panel(s, d)))
+            ), "mean_sites"
         ),
         "largest_countries": largest_countries,
         "transition_share": transition_share,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from panelwise.operators.flags import attach_metadata, flag_panel
+from panelwise.operators.flags import attach_metadata, flag_panel, label_periods
 from panelwise.operators.net_change import net_change_panel
 from panelwise.operators.ratio import merge_ratio_numerator
 from panelwise.sources.stages import stage
@@ -19,8 +19,8 @@ def flags_stage(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
 def flagged_stage(
     panel: DataFrame, owner_dim: DataFrame, org_dim: DataFrame, spec: PanelSpec = DEFAULT_SPEC
 ) -> DataFrame:
-    """Flags with owner names and the organisation path."""
-    return attach_metadata(flags_stage(panel, spec), owner_dim, org_dim, spec)
+    """Flags with owner names, the organisation path and period labels."""
+    return label_periods(attach_metadata(flags_stage(panel, spec), owner_dim, org_dim, spec), spec)
 
 
 def net_change_stage(
@@ -42,11 +42,10 @@ def final_stage(
     org_dim: DataFrame,
     spec: PanelSpec = DEFAULT_SPEC,
 ) -> DataFrame:
-    """Net change with the ratio numerator and denominator.
+    """Net change with the ratio numerator and denominator, named and labelled.
 
-    Both sides get their names and paths before the join, which runs on every
-    shared column.
+    Names and paths are the same on both sides of the full join, so it runs on
+    site, owner, group and period, and they are attached to its result.
     """
-    nn = attach_metadata(net_change_stage(panel, spec), owner_dim, org_dim, spec)
-    placed = ratio_rows.join(org_dim, spec.site, "left")
-    return merge_ratio_numerator(nn, placed, owner_dim, spec, stage)
+    merged = merge_ratio_numerator(net_change_stage(panel, spec), ratio_rows, None, spec, stage)
+    return label_periods(attach_metadata(merged, owner_dim, org_dim, spec), spec)

@@ -1,7 +1,8 @@
 """Report tables on the flagged panel and the net-change table.
 
 Every report aggregates first; windows and ranks then run on tables with one row
-per unit, country, period or owner.
+per unit, country, period or owner.  An aggregate that is used more than once is
+staged, so that the panel behind it is read once.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from panelwise.operators.groups import (
 )
 from panelwise.operators.joins import join_nullsafe
 from panelwise.operators.shape import to_long, to_wide
+from panelwise.sources.stages import stage
 from panelwise.spec import (
     ADJUSTED,
     AGENCY_NAMES,
@@ -194,6 +196,7 @@ def multi_counts_ranked(panel: DataFrame, regional: str = "Region", spec: PanelS
         F.count_if(F.col("rows") > 1).alias("multiple"),
         F.count_if(F.col("rows") == 1).alias("single"),
     )
+    sizes = stage(sizes, "country_sizes")
     chosen = filter_group(sizes, [spec.unit, "country"], F.sum("multiple"), 1)
     ranks = display_rank(chosen, "country", "multiple", "sum", desc=True, name="country_rank")
     return join_nullsafe(chosen, ranks, ["country"]).withColumn("lab", null_if_zero("multiple"))
@@ -299,7 +302,7 @@ def net_change_by_owner(
     rows = nn.where(~F.col(spec.owner).isin(*excluded_owners)) if excluded_owners else nn
     keys = [spec.unit, spec.group, spec.owner, "primepartner", spec.index, spec.period]
     named = rows.withColumn(spec.group, recode(spec.group, AGENCY_NAMES))
-    sums = sum0_by(named, keys, MEASURES, spec.scale)
+    sums = stage(sum0_by(named, keys, MEASURES, spec.scale), "owner_sums")
     last = sums.groupBy(spec.owner).agg(F.max(spec.index).alias("_last"))
     first = period_bound(sums, "min", spec)
     out = join_nullsafe(sums, last.where(F.col("_last") != first), [spec.owner], "inner").select(
@@ -335,7 +338,7 @@ def net_change_labels(
     long: DataFrame, excluded_owners: tuple[str, ...] = PSEUDO_OWNERS, spec: PanelSpec = S
 ) -> DataFrame:
     """Labels and display order for the two measures; ``match`` where they agree."""
-    rows = long.where(~F.col(spec.owner).isin(*excluded_owners))
+    rows = stage(long.where(~F.col(spec.owner).isin(*excluded_owners)), "owner_deltas")
     agrees = (F.col("delta") == 0) & (F.col("indicator") == "tx_net_new")
     labelled = rows.withColumns(
         {
