@@ -18,7 +18,13 @@ from panelwise.functions.periods import (
 from panelwise.operators import flags as fl
 from panelwise.operators import net_change as nc
 from panelwise.operators.clean import clean_extract
-from panelwise.operators.grid import complete, fill_down_up, period_table, with_exits
+from panelwise.operators.grid import (
+    complete,
+    fill_down_up,
+    period_bound,
+    period_table,
+    with_exits,
+)
 from panelwise.operators.ratio import ratio_aggregate, ratio_compare, ratio_validated
 from panelwise.operators.review import multi_owner_pairs, multi_owner_sites
 from panelwise.plans import pipeline, reports
@@ -57,6 +63,10 @@ def _labelled(df: DataFrame, *columns: str) -> DataFrame:
     return out.select(*columns) if columns else out.drop("period_idx")
 
 
+def _staged_panel(spark: SparkSession, d: str) -> DataFrame:
+    return stage(_panel(spark, d), "panel")
+
+
 def _named_panel(spark: SparkSession, d: str) -> DataFrame:
     return fl.label_periods(tb.with_names(spark, d, _panel(spark, d)))
 
@@ -65,16 +75,38 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.flags_stage(_panel(spark, d))
 
 
+def _name(spark: SparkSession, d: str, flags: DataFrame) -> DataFrame:
+    return fl.label_periods(
+        fl.attach_metadata(flags, tb.owner_dim(spark, d), tb.org_dim(spark, d))
+    )
+
+
 def _flagged(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.flagged_stage(_panel(spark, d), tb.owner_dim(spark, d), tb.org_dim(spark, d))
+    return _name(spark, d, _flags(spark, d))
+
+
+def _flagged_with_start(spark: SparkSession, d: str):
+    """Flagged rows, and the first period as the staged panel has it.
+
+    Reading the bound from the panel keeps the flags out of the subquery.
+    """
+    panel = _staged_panel(spark, d)
+    first = period_bound(panel.where(F.col("value").isNotNull()), "min")
+    return _name(spark, d, fl.flag_panel(panel)), first
 
 
 def _review(spark: SparkSession, d: str) -> DataFrame:
-    return reports.after_first_period(_flagged(spark, d))
+    flagged, first = _flagged_with_start(spark, d)
+    return reports.after_first_period(flagged, first_period=first)
+
+
+def _extracts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    flagged, first = _flagged_with_start(spark, d)
+    return fl.transition_extracts(flagged, excluded_groups=(tb.DEDUP,), first_period=first)
 
 
 def _ends(spark: SparkSession, d: str) -> DataFrame:
-    return fl.transition_extracts(_flagged(spark, d), excluded_groups=(tb.DEDUP,))["ends"]
+    return _extracts(spark, d)["ends"]
 
 
 def _staged_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -90,10 +122,11 @@ def _net_change(spark: SparkSession, d: str, lag_mode: str = "rows") -> DataFram
     return pipeline.net_change_stage(_panel(spark, d), lag_mode=lag_mode)
 
 
-def _named_net_change(spark: SparkSession, d: str) -> DataFrame:
-    return fl.label_periods(
-        fl.attach_metadata(_net_change(spark, d), tb.owner_dim(spark, d), tb.org_dim(spark, d))
-    )
+def _review_net_change(spark: SparkSession, d: str) -> DataFrame:
+    panel = _staged_panel(spark, d)
+    nn = nc.net_change_panel(stage(fl.flag_panel(panel), "flags"), stage=stage)
+    first = period_bound(panel.where(F.col("value").isNotNull()), "min")
+    return reports.after_first_period(_name(spark, d, nn), first_period=first)
 
 
 def _final(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +198,7 @@ def fill_down_up_query(spark, d):
 
 
 def sparse_exits(spark, d):
-    panel = stage(_panel(spark, d), "panel")
+    panel = _staged_panel(spark, d)
     rows = with_exits(panel, ["orgunituid", "mech_code"], period_table(panel))
     return _labelled(rows, *PAIR, "value", "prior", "observed")
 
@@ -174,26 +207,26 @@ def sparse_exits(spark, d):
 
 
 def lone_obs(spark, d):
-    return _labelled(fl.flag_lone_obs(stage(_panel(spark, d), "panel")), *PAIR, "flag_loneobs")
+    return _labelled(fl.flag_lone_obs(_staged_panel(spark, d)), *PAIR, "flag_loneobs")
 
 
 def multi_owner(spark, d):
-    rows = fl.flag_multi_owner(stage(_panel(spark, d), "panel"))
+    rows = fl.flag_multi_owner(_staged_panel(spark, d))
     return _labelled(rows, *PAIR, "flag_multimech_site")
 
 
 def end_flags(spark, d):
-    rows = fl.flag_end(stage(_panel(spark, d), "panel"))
+    rows = fl.flag_end(_staged_panel(spark, d))
     return _labelled(rows, *PAIR, "last_obs_site", "last_obs_sitexmech", "flag_end_sitexmech")
 
 
 def end_types(spark, d):
-    rows = fl.classify_end(stage(_panel(spark, d), "panel"))
+    rows = fl.classify_end(_staged_panel(spark, d))
     return _labelled(rows, *PAIR, "flag_end_sitexmech", "end_type")
 
 
 def transition_parties(spark, d):
-    out = fl.transition_parties(stage(_panel(spark, d), "panel"))
+    out = fl.transition_parties(_staged_panel(spark, d))
     return _labelled(out, *PAIR, "end_type", "agency_exiting", "agency_inheriting")
 
 
@@ -214,13 +247,13 @@ def part_supplier_net_change(spark, d):
 
 
 def ends_out(spark, d):
-    return fl.transition_extracts(_flagged(spark, d), excluded_groups=(tb.DEDUP,))["out"]
+    return _extracts(spark, d)["out"]
 
 
 def ever_multi_sites(spark, d):
-    flagged = stage(_flagged(spark, d), "flags")
-    multi = fl.transition_extracts(flagged, excluded_groups=(tb.DEDUP,))["multi"]
-    return multi.select(*PAIR, "value", "flag_multimech_site")
+    flags = _staged_flags(spark, d)
+    multi = fl.transition_extracts(flags, excluded_groups=(tb.DEDUP,))["multi"]
+    return _labelled(multi, *PAIR, "value", "flag_multimech_site")
 
 
 # -- net change -----------------------------------------------------------------
@@ -300,7 +333,8 @@ def multi_share_labels(spark, d):
 
 
 def multi_rows_one_unit(spark, d):
-    out = reports.multi_rows_of_unit(_named_panel(spark, d), UNIT)
+    panel = fl.label_periods(tb.with_names(spark, d, _staged_panel(spark, d)))
+    out = reports.multi_rows_of_unit(panel, UNIT)
     return out.select("period", "operatingunit", "facility", "orgunituid", "mech_code", "fundingagency", "value")
 
 
@@ -314,7 +348,8 @@ def multi_unit_count(spark, d):
 
 
 def largest_countries(spark, d):
-    return rounded(reports.largest_countries(_review(spark, d)), *SHARES)
+    sites = _review(spark, d).select("period_idx", "countryname", "orgunituid")
+    return rounded(reports.largest_countries(stage(sites, "review")), *SHARES)
 
 
 def transition_share(spark, d):
@@ -348,13 +383,11 @@ def site_type_multi(spark, d):
 
 
 def net_change_by_owner(spark, d):
-    nn = reports.after_first_period(_named_net_change(spark, d))
-    return reports.net_change_by_owner(nn).drop("period_idx")
+    return reports.net_change_by_owner(_review_net_change(spark, d)).drop("period_idx")
 
 
 def _by_owner(spark, d):
-    nn = reports.after_first_period(_named_net_change(spark, d))
-    return reports.net_change_by_owner(nn, PSEUDO)
+    return reports.net_change_by_owner(_review_net_change(spark, d), PSEUDO)
 
 
 def net_change_by_true_owner(spark, d):
@@ -461,14 +494,14 @@ def queries() -> dict[str, Query]:
         "multi_counts_ranked": multi_counts_ranked,
         "multi_unit_count": multi_unit_count,
         "units_by_latest_stock": lambda s, d: reports.units_by_latest_stock(
-            _named_panel(s, d), UNIT_NAMES
+            tb.with_names(s, d, _staged_panel(s, d)), UNIT_NAMES
         ),
         "sites_per_period": lambda s, d: reports.sites_per_period(
-            reports.after_first_period(fl.label_periods(_panel(s, d)))
+            reports.after_first_period(fl.label_periods(_staged_panel(s, d)))
         ).drop("period_idx"),
         "sites_headline": lambda s, d: rounded(
             reports.sites_headline(
-                reports.after_first_period(fl.label_periods(_panel(s, d)))
+                reports.after_first_period(fl.label_periods(_staged_panel(s, d)))
             ), "mean_sites"
         ),
         "largest_countries": largest_countries,

@@ -83,12 +83,13 @@ def ends_period_type(df: DataFrame, spec: PanelSpec = S) -> DataFrame:
 
 def transition_share(df: DataFrame, spec: PanelSpec = S) -> DataFrame:
     """Share of (site, owner) pairs that end, per period with any end."""
-    keys, what = [spec.index, spec.period], [spec.owner, spec.site]
-    ends = count_distinct_by(df.where("flag_end_sitexmech"), keys, what, "trans_mech_sites")
-    every = count_distinct_by(df, keys, what, "all_mech_sites")
-    return ends.join(every.drop(spec.period), spec.index, "left").withColumn(
-        "share", ratio("trans_mech_sites", "all_mech_sites")
+    keys = [spec.index, spec.period]
+    pairs = df.groupBy(*keys, spec.owner, spec.site).agg(F.max("flag_end_sitexmech").alias("ends"))
+    counts = pairs.groupBy(*keys).agg(
+        F.count_if("ends").alias("trans_mech_sites"), F.count(F.lit(1)).alias("all_mech_sites")
     )
+    ended = counts.where(F.col("trans_mech_sites") > 0)
+    return ended.withColumn("share", ratio("trans_mech_sites", "all_mech_sites"))
 
 
 def transition_headline(df: DataFrame, quarter: str, spec: PanelSpec = S) -> DataFrame:
