@@ -47,12 +47,22 @@ def label_index(label: Column | str, pivot: int = 70) -> Column:
     return (F.when(yy >= pivot, yy + 1900).otherwise(yy + 2000) * 4 + q).cast("int")
 
 
+def period_text_month(text: Column | str) -> Column:
+    """The first ``Mon YYYY`` in a text, null when there is none."""
+    return F.nullif(F.regexp_extract(as_col(text), r"\p{Alpha}{3} [0-9]{4}", 0), F.lit(""))
+
+
+def month_date(month: Column | str) -> Column:
+    """First day of a ``Mon YYYY`` month; null when the name is no month."""
+    m = as_col(month)
+    at = F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), F.substring(m, 1, 3))
+    number = F.when((at - 1) % 3 == 0, ((at + 2) / 3).cast("int"))
+    return F.make_date(F.substring(m, 5, 4).cast("int"), number, F.lit(1))
+
+
 def period_text_date(text: Column | str) -> Column:
-    """First day of the first ``Mon YYYY`` found in a period text."""
-    found = F.regexp_extract(as_col(text), r"\p{Alpha}{3} [0-9]{4}", 0)
-    return F.try_to_timestamp(
-        F.concat(F.lit("1 "), F.nullif(found, F.lit(""))), F.lit("d MMM yyyy")
-    ).cast("date")
+    """First day of the first month named in a period text."""
+    return month_date(period_text_month(text))
 
 
 def quarter_list(spark: SparkSession, start: str, end: str, drop_first: bool = True) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.functions.columns import if_else_na, to_number
-from panelwise.functions.periods import fiscal_index, index_label, period_text_date
+from panelwise.functions.periods import fiscal_index, index_label, month_date, period_text_month
 from panelwise.operators.joins import enrich, replace_by_label
-from panelwise.operators.shape import arrange_columns, pick_level, split_parts
+from panelwise.operators.shape import WORD_BREAK, arrange_columns, pick_level, split_parts
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 # Column names of the raw extract and of the clean panel.
@@ -67,9 +67,14 @@ def org_hierarchy(units: DataFrame, hierarchy: DataFrame, unit_id: str = "uid")
     return hierarchy.join(chosen, unit_id, "left_semi")
 
 
+def owner_text(mech: Column | str) -> Column:
+    """Owner text; pseudo owners get a prefix so that they split like the others."""
+    return F.regexp_replace(mech, "^0000(0|1)", "ZZZ - 0000$1 -")
+
+
 def owner_parts(mech: Column | str) -> list[Column]:
-    """Owner text with a prefix for pseudo owners, its code and its name."""
-    text = F.regexp_replace(mech, "^0000(0|1)", "ZZZ - 0000$1 -")
+    """Owner text, its code and its name."""
+    text = owner_text(mech)
     return [text.alias("mech"), *split_parts(text, [None, "mech_code", "mech_name"])]
 
 
@@ -86,19 +91,32 @@ def clean_extract(
     hundred rows, far below the planner's broadcast threshold.
     """
     named = raw.drop("orglvl_1", "orglvl_2").withColumnsRenamed(RAW_COLUMNS)
-    index = fiscal_index(period_text_date("Period"))
-    named = named.withColumns(
+    # One step per derived value: the next step reads it instead of parsing again.
+    dated = (
+        named.withColumn("_month", period_text_month("Period"))
+        .withColumn("_date", month_date("_month"))
+        .withColumn(spec.index, fiscal_index("_date"))
+        .withColumn("mech", owner_text(F.col("mech")))
+    )
+    recoded = dated.withColumns(
         {
-            spec.index: index,
-            spec.period: index_label(index),
+            spec.period: index_label(spec.index),
             "snu1": F.col("orglvl_4"),
             "countryname": country_name(F.col("operatingunit"), F.col("orglvl_4"), regional),
             "numeratordenom": if_else_na(F.col("numeratordenom") == DENOMINATOR, "D", "N"),
+            "_parts": F.split("mech", WORD_BREAK, 3),
         }
     )
-    levelled = enrich(named, countries, "countryname", ["psnu_lvl"])
+    levelled = enrich(recoded, countries, "countryname", ["psnu_lvl"])
     placed = pick_level(levelled, "psnu_lvl")
     labelled = replace_by_label(placed, agencies, "fundingagency", "id", "item")
-    rest = [c for c in labelled.columns if c not in ("mech", "value", "Period")]
-    out = labelled.select(*rest, *owner_parts(F.col("mech")), to_number("value").alias("value"))
+    gone = ("mech", "value", "Period", "_month", "_date", "_parts")
+    rest = [c for c in labelled.columns if c not in gone]
+    out = labelled.select(
+        *rest,
+        "mech",
+        F.get("_parts", F.lit(1)).alias("mech_code"),
+        F.get("_parts", F.lit(2)).alias("mech_name"),
+        to_number("value").alias("value"),
+    )
     return arrange_columns(out, front=PANEL_FRONT)

@@ -41,7 +41,9 @@ def _seen(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     return panel.where(F.col(spec.value).isNotNull())
 
 
-def flag_lone_obs(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def flag_lone_obs(
+    panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, periods: DataFrame | None = None
+) -> DataFrame:
     """Rows with a value whose neighbours on the period grid have none.
 
     The grid holds one row per period for every (unit, group) seen for a (site,
@@ -55,7 +57,7 @@ def flag_lone_obs(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame
     tuples = F.sort_array(F.collect_set(tup).over(pair))
     idx, seq = F.col(spec.index), F.col("_seq")
     placed = (
-        on_periods(panel, _periods(panel, spec), spec)
+        on_periods(panel, _periods(panel, spec) if periods is None else periods, spec)
         .withColumn("_tuples", tuples)
         .where(F.col(spec.value).isNotNull())
         .select(
@@ -71,7 +73,9 @@ def flag_lone_obs(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame
     return placed.select(*panel.columns, (~F.col("_edge") & ~near).alias("flag_loneobs"))
 
 
-def site_periods(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def site_periods(
+    panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, periods: DataFrame | None = None
+) -> DataFrame:
     """One row per (site, period) with a value: what the flags need of the site.
 
     ``flag_multimech_site``, ``last_obs_site``, the first owner and group of the
@@ -86,7 +90,8 @@ def site_periods(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     per_site = _seen(panel, spec).groupBy(spec.site, spec.index).agg(
         (F.count(F.lit(1)) > 1).alias("flag_multimech_site"), F.min(first).alias("_first")
     )
-    return on_periods(per_site, _periods(panel, spec), spec).select(
+    periods = _periods(panel, spec) if periods is None else periods
+    return on_periods(per_site, periods, spec).select(
         spec.site,
         spec.index,
         multi,
@@ -99,8 +104,12 @@ def site_periods(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     )
 
 
-def _on_site_period(rows: DataFrame, panel: DataFrame, spec: PanelSpec) -> DataFrame:
-    return rows.join(site_periods(panel, spec), [spec.site, spec.index])
+def _on_site_period(
+    rows: DataFrame, panel: DataFrame, spec: PanelSpec, periods: DataFrame | None = None
+) -> DataFrame:
+    """Join on (site, period).  Where one site-period holds much of the panel,
+    adaptive execution splits its partition and repeats the one matching row."""
+    return rows.join(site_periods(panel, spec, periods), [spec.site, spec.index])
 
 
 def _public(df: DataFrame, *drop: str) -> DataFrame:
@@ -211,11 +220,18 @@ def flag_ratio_valid(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFr
 
 
 def flag_panel(
-    panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, labels: EndLabels = EndLabels()
+    panel: DataFrame,
+    spec: PanelSpec = DEFAULT_SPEC,
+    labels: EndLabels = EndLabels(),
+    stage=lambda df, name: df,
 ) -> DataFrame:
-    """All flags in one pass: windows per pair, one site-period table, one join."""
-    pairs = _with_last_pair(flag_lone_obs(panel, spec), spec)
-    ends = _on_site_period(pairs, panel, spec).withColumns(
+    """All flags in one pass: windows per pair, one site-period table, one join.
+
+    The period table is used twice; ``stage`` writes it in between.
+    """
+    periods = stage(_periods(panel, spec), "periods")
+    pairs = _with_last_pair(flag_lone_obs(panel, spec, periods), spec)
+    ends = _on_site_period(pairs, panel, spec, periods).withColumns(
         {
             "flag_end_sitexmech": _end_column(spec),
             "method": _method_column(),

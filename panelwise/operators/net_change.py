@@ -67,7 +67,10 @@ def net_change_periods(flags: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> Data
 
 
 def net_change_standard(
-    flags: DataFrame, spec: PanelSpec = DEFAULT_SPEC, dense: bool = False
+    flags: DataFrame,
+    spec: PanelSpec = DEFAULT_SPEC,
+    dense: bool = False,
+    periods: DataFrame | None = None,
 ) -> DataFrame:
     """Change against the same owner's stock one period earlier.
 
@@ -83,7 +86,8 @@ def net_change_standard(
         prior = F.lag(spec.value).over(W.partitionBy(*keys).orderBy(spec.index))
         rows = filled.withColumn("prior", prior)
     else:
-        rows = with_exits(flags, keys, net_change_periods(flags, spec), spec, also="single")
+        periods = net_change_periods(flags, spec) if periods is None else periods
+        rows = with_exits(flags, keys, periods, spec, also="single")
     same = [c for c in rows.columns if c not in (spec.period, spec.value, "prior")]
     return rows.select(
         *same,
@@ -93,7 +97,10 @@ def net_change_standard(
 
 
 def net_change_adjusted(
-    flags: DataFrame, spec: PanelSpec = DEFAULT_SPEC, dense: bool = False
+    flags: DataFrame,
+    spec: PanelSpec = DEFAULT_SPEC,
+    dense: bool = False,
+    periods: DataFrame | None = None,
 ) -> DataFrame:
     """Change against the site's stock one period earlier, whoever owned it.
 
@@ -110,9 +117,8 @@ def net_change_adjusted(
         prior = F.lag(spec.value).over(W.partitionBy(spec.site).orderBy(spec.index))
         rows = filled.withColumn("prior", prior)
     else:
-        rows = with_exits(
-            single, [spec.site], net_change_periods(flags, spec), spec, axis="single"
-        )
+        periods = net_change_periods(flags, spec) if periods is None else periods
+        rows = with_exits(single, [spec.site], periods, spec, axis="single")
     return (
         rows.select(
             *spec.key,
@@ -275,12 +281,15 @@ def net_change_panel(
 ) -> DataFrame:
     """From flags to the full net-change table.
 
-    ``stage`` is called on the combined rows, which are read twice below; pass
-    ``sources.stages.stage`` to write them to the shared folder in between.
+    ``stage`` is called on the period table and on the combined rows, which are
+    used more than once; pass ``sources.stages.stage`` to write them to the shared
+    folder in between.
     """
-    std = net_change_standard(flags, spec)
-    nn = stage(combine_net_change(std, net_change_adjusted(flags, spec), spec), "net_change")
-    rows = site_context(nn, spec, net_change_periods(flags, spec))
+    periods = stage(net_change_periods(flags, spec), "periods")
+    std = net_change_standard(flags, spec, periods=periods)
+    adj = net_change_adjusted(flags, spec, periods=periods)
+    nn = stage(combine_net_change(std, adj, spec), "net_change")
+    rows = site_context(nn, spec, periods)
     rows = propagate_flags(attribute_transfers(rows, spec), spec)
     rows = lag_stock(net_change_plus(rows), spec, lag_mode=lag_mode)
     measures = [

@@ -49,8 +49,12 @@ def pick_level(
     return df.where(level.isin(*[k for k in levels if k != 0])).select(*rest, picked.alias(out))
 
 
+# Any run of characters that are neither letters nor digits.
+WORD_BREAK = r"[^\p{Alnum}]+"
+
+
 def split_parts(
-    c: Column | str, into: list[str | None], pattern: str = r"[^\p{Alnum}]+"
+    c: Column | str, into: list[str | None], pattern: str = WORD_BREAK
 ) -> list[Column]:
     """Pieces of a text as named columns; unnamed pieces are left out.
 

@@ -92,7 +92,7 @@ def _flagged_with_start(spark: SparkSession, d: str):
     """
     panel = _staged_panel(spark, d)
     first = period_bound(panel.where(F.col("value").isNotNull()), "min")
-    return _name(spark, d, fl.flag_panel(panel)), first
+    return _name(spark, d, fl.flag_panel(panel, stage=stage)), first
 
 
 def _review(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ def _net_change(spark: SparkSession, d: str, lag_mode: str = "rows") -> DataFram
 
 def _review_net_change(spark: SparkSession, d: str) -> DataFrame:
     panel = _staged_panel(spark, d)
-    nn = nc.net_change_panel(stage(fl.flag_panel(panel), "flags"), stage=stage)
+    nn = nc.net_change_panel(stage(fl.flag_panel(panel, stage=stage), "flags"), stage=stage)
     first = period_bound(panel.where(F.col("value").isNotNull()), "min")
     return reports.after_first_period(_name(spark, d, nn), first_period=first)
 
@@ -314,6 +314,16 @@ def ratio_merge(spark, d):
 SHARES = ("share", "cum_share")
 
 
+def owner_pairs(spark, d):
+    flagged, first = _flagged_with_start(spark, d)
+    return multi_owner_pairs(flagged, group_strip="De|up", first_period=first)
+
+
+def owner_sites(spark, d):
+    flagged, first = _flagged_with_start(spark, d)
+    return multi_owner_sites(flagged, tb.PERIODS, group_strip="De|up", first_period=first)
+
+
 def sites_with_owners(spark, d):
     out = reports.multi_owner_histogram(_named_panel(spark, d), [1, 2, 3, 4, 5])
     return out.drop("period_idx")
@@ -333,8 +343,8 @@ def multi_share_labels(spark, d):
 
 
 def multi_rows_one_unit(spark, d):
-    panel = fl.label_periods(tb.with_names(spark, d, _staged_panel(spark, d)))
-    out = reports.multi_rows_of_unit(panel, UNIT)
+    multi = tb.with_names(spark, d, reports.multi_rows(_staged_panel(spark, d)))
+    out = fl.label_periods(reports.rows_of_unit(multi, UNIT))
     return out.select("period", "operatingunit", "facility", "orgunituid", "mech_code", "fundingagency", "value")
 
 
@@ -482,10 +492,8 @@ def queries() -> dict[str, Query]:
         "lag2_rows": lag2_rows,
         "lag2_periods": lag2_periods,
         "ratio_merge": ratio_merge,
-        "multi_owner_pairs": lambda s, d: multi_owner_pairs(_flagged(s, d), group_strip="De|up"),
-        "multi_owner_sites": lambda s, d: multi_owner_sites(
-            _flagged(s, d), tb.PERIODS, group_strip="De|up"
-        ),
+        "multi_owner_pairs": owner_pairs,
+        "multi_owner_sites": owner_sites,
         "multi_owner_histogram": sites_with_owners,
         "multi_share_by_period": multi_share_by_period,
         "multi_share_wide": multi_share_wide,

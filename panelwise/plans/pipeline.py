@@ -13,7 +13,7 @@ from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 def flags_stage(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Flags on a narrow panel.  The panel is read several times, so it is staged."""
-    return flag_panel(stage(panel, "panel"), spec)
+    return flag_panel(stage(panel, "panel"), spec, stage=stage)
 
 
 def flagged_stage(

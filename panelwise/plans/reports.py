@@ -135,7 +135,7 @@ def lone_obs_wide(
 ) -> DataFrame:
     """Lone observations per owner, one column per period, largest owner first."""
     rows = df.where(F.col("flag_loneobs") & ~F.col(spec.owner).isin(*pseudo_owners))
-    counts = count_distinct_by(rows, [spec.owner, spec.period], [spec.site])
+    counts = stage(count_distinct_by(rows, [spec.owner, spec.period], [spec.site]), "lone_counts")
     top = counts.groupBy(spec.owner).agg(F.max("n").alias("max"))
     wide = to_wide(counts, [spec.owner], spec.period, "n", periods)
     return wide.join(top, spec.owner).orderBy(F.desc("max"), spec.owner)
@@ -181,10 +181,14 @@ def multi_share_labels(
     )
 
 
-def multi_rows_of_unit(panel: DataFrame, unit: str, spec: PanelSpec = S) -> DataFrame:
-    """Rows of one unit's site-periods with several rows, sorted."""
-    multi = filter_group(panel, [spec.index, spec.site], F.count(F.lit(1)), 1)
-    return multi.where(F.col(spec.unit) == unit).orderBy(spec.site, spec.index, spec.owner)
+def multi_rows(panel: DataFrame, spec: PanelSpec = S) -> DataFrame:
+    """Rows of site-periods with several rows."""
+    return filter_group(panel, [spec.index, spec.site], F.count(F.lit(1)), 1)
+
+
+def rows_of_unit(rows: DataFrame, unit: str, spec: PanelSpec = S) -> DataFrame:
+    """One unit's rows, sorted."""
+    return rows.where(F.col(spec.unit) == unit).orderBy(spec.site, spec.index, spec.owner)
 
 
 def multi_counts_ranked(panel: DataFrame, regional: str = "Region", spec: PanelSpec = S) -> DataFrame:
