@@ -193,13 +193,13 @@ def test_clean_extract_levels(spark):
     none = [*base[:3], "Togo", "X", "Y", "clinic", "u3", *base[8:]]
     raw = spark.createDataFrame([base, region, none], ", ".join(f"`{n}` string" for n in names))
     countries = spark.createDataFrame([("Kenya", 4), ("Nepal", 5), ("Togo", 0)], "countryname string, psnu_lvl int")
-    agencies = spark.createDataFrame([("id1", "USAID")], "id string, item string")
+    agencies = spark.createDataFrame([("id1", "Agency U")], "id string, item string")
     out = clean.clean_extract(raw, countries, agencies)
     got = {r.orgunituid: r for r in out.collect()}
     assert set(got) == {"u1", "u2"}
     assert out.columns[:7] == clean.PANEL_FRONT
     kenya, nepal = got["u1"], got["u2"]
-    assert (kenya.period, kenya.psnu, kenya.fundingagency, kenya.mech_code, kenya.value) == ("FY20Q1", "North", "USAID", "00042", 7.0)
+    assert (kenya.period, kenya.psnu, kenya.fundingagency, kenya.mech_code, kenya.value) == ("FY20Q1", "North", "Agency U", "00042", 7.0)
     assert (nepal.countryname, nepal.psnu, nepal.mech_code, nepal.numeratordenom) == ("Nepal", "K1", "00000", "D")
     assert nepal.fundingagency is None and nepal.value is None
 
@@ -248,8 +248,8 @@ def test_review_sheet(spark):
         ("K", "s1", "n", "n", "c1", "Dedupe adjustments Agency", "1", 8002, True),
         ("K", "s1", "n", "n", "c1", "HHS/CDC", "2", 8003, True),
         ("K", "s1", "n", "n", "c1", "Dedupe adjustments Agency", "1", 8003, True),
-        ("K", "s2", "n", "n", "c2", "USAID", "3", 8001, True),
-        ("K", "s2", "n", "n", "c2", "USAID", "3", 8002, False),
+        ("K", "s2", "n", "n", "c2", "Agency U", "3", 8001, True),
+        ("K", "s2", "n", "n", "c2", "Agency U", "3", 8002, False),
     ]
     df = spark.createDataFrame(rows, "operatingunit string, orgunituid string, snu1 string, psnu string, facility string, fundingagency string, mech_code string, period_idx int, flag_multimech_site boolean").withColumn("period", p.index_label("period_idx"))
     pairs = review.multi_owner_pairs(df).collect()
