@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from panelwise.operators.net_change import net_change_adjusted, net_change_standard
-from panelwise.plans import catalog
+from panelwise.plans import catalog, oracle
 from panelwise.sources.stages import stage
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,10 +20,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_agrees_with_sql(spark, con, name):
     assert check(spark, con, name, SMALL) is None
 
