@@ -11,6 +11,7 @@ from panelwise.llm.base import read_table
 from panelwise.llm.chat import format_conversations, parse_conversations
 from panelwise.llm.mixing import mix_documents
 from panelwise.llm.sharding import shard_documents
+from panelwise.llm.simhash import simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +36,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read_table(spark, sf_dir, "documents"), words_per_shingle=3, max_bits=3, keep=["doc_id"])
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -54,4 +59,4 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_chat)}
+    return {f.__name__: f for f in (op1_mixing, op3_sharding, op4_simhash, op5_chat)}
