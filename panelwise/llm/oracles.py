@@ -104,5 +104,21 @@ FROM seen GROUP BY conv_id
 """
 
 
+_SHINGLES = r"""
+SELECT DISTINCT {id} AS id, text, array_to_string(w[i:i + 4], ' ') AS shingle FROM (
+  SELECT {id}, text, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+  FROM (SELECT {id}, text, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM {table})
+  WHERE len(w) > 0
+)"""
+OP8 = f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+n AS (SELECT id, text, count(*) AS n FROM b GROUP BY id, text)
+SELECT DISTINCT d.id AS doc_id, b.id AS item_id, count(*) AS shared, n.n AS item_shingles, count(*) / n.n AS containment
+FROM d JOIN b USING (shingle) JOIN n ON n.id IS NOT DISTINCT FROM b.id AND n.text = b.text
+GROUP BY d.id, d.text, b.id, b.text, n.n HAVING count(*) >= 0.8 * n.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op3_sharding": _op3(), "op5_chat": OP5}
+    return {"op1_mixing": OP1, "op3_sharding": _op3(), "op5_chat": OP5, "op8_decontamination": OP8}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwise.llm.base import read_table
 from panelwise.llm.chat import format_conversations, parse_conversations
+from panelwise.llm.decontam import contained_items
 from panelwise.llm.mixing import mix_documents
 from panelwise.llm.sharding import shard_documents
 from panelwise.llm.simhash import simhash_groups
@@ -58,5 +59,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return contained_items(docs, items).drop("text_hash")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op4_simhash, op5_chat)}
+    return {f.__name__: f for f in (op1_mixing, op3_sharding, op4_simhash, op5_chat, op8_decontamination)}
