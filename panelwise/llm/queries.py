@@ -13,6 +13,7 @@ from panelwise.llm.decontam import contained_items
 from panelwise.llm.mixing import mix_documents
 from panelwise.llm.sharding import shard_documents
 from panelwise.llm.simhash import simhash_groups
+from panelwise.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,5 +65,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(docs, items).drop("text_hash")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    scored = score_toxicity(docs, labels, held_out_of=5)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op4_simhash, op5_chat, op8_decontamination)}
+    return {f.__name__: f for f in (op1_mixing, op3_sharding, op4_simhash, op5_chat, op8_decontamination, op9_toxicity)}
