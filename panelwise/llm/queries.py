@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from panelwise.llm.base import read_table
 from panelwise.llm.chat import format_conversations, parse_conversations
 from panelwise.llm.decontam import contained_items
+from panelwise.llm.langid import identify_language, train_profiles
 from panelwise.llm.mixing import mix_documents
 from panelwise.llm.sharding import shard_documents
 from panelwise.llm.simhash import simhash_groups
+from panelwise.llm.tokens import new_folder, read_tokens, write_tokens
 from panelwise.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +26,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    profiles = train_profiles(docs.where(~held_out))
+    return identify_language(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -60,6 +69,14 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = new_folder(spark)
+    files = write_tokens(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, folder, files)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return contained_items(docs, items).drop("text_hash")
@@ -73,4 +90,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op4_simhash, op5_chat, op8_decontamination, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op3_sharding, op4_simhash, op5_chat, op6_tokens, op8_decontamination, op9_toxicity)}
