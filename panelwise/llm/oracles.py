@@ -120,5 +120,18 @@ GROUP BY d.id, d.text, b.id, b.text, n.n HAVING count(*) >= 0.8 * n.n
 """
 
 
+OP7 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op3_sharding": _op3(), "op5_chat": OP5, "op8_decontamination": OP8}
+    return {"op1_mixing": OP1, "op3_sharding": _op3(), "op5_chat": OP5, "op7_top_k": OP7, "op8_decontamination": OP8}

@@ -12,8 +12,10 @@ from panelwise.llm.chat import format_conversations, parse_conversations
 from panelwise.llm.decontam import contained_items
 from panelwise.llm.langid import identify_language, train_profiles
 from panelwise.llm.mixing import mix_documents
+from panelwise.llm.pii import pseudonymise
 from panelwise.llm.sharding import shard_documents
 from panelwise.llm.simhash import simhash_groups
+from panelwise.llm.topk import exact_top_k
 from panelwise.llm.tokens import new_folder, read_tokens, write_tokens
 from panelwise.llm.toxicity import score_toxicity
 
@@ -77,6 +79,10 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder, files)
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return contained_items(docs, items).drop("text_hash")
@@ -89,5 +95,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(read_table(spark, sf_dir, "documents"), key="corpus")
+    kinds = F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"])))
+    return found.select("doc_id", F.col("pseudonymised").alias("text"), F.size("pii").alias("n_found"), F.array_join(kinds, ",").alias("kinds"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_language, op3_sharding, op4_simhash, op5_chat, op6_tokens, op8_decontamination, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op3_sharding, op4_simhash, op5_chat, op6_tokens, op7_top_k, op8_decontamination, op9_toxicity, op10_pii)}
