@@ -28,7 +28,7 @@ from panelwise.llm.base import fresh, hash60, quoted, without
 OUT = ("lang_pred", "score")
 LONGEST, PLACES = 3, 400  # letters of an n-gram, places of a profile
 UNDETERMINED = "und"
-LETTER_BITS = 21
+LETTER_BITS, SPACE = 21, 1  # a space's number is no letter's
 PIECE = 1 << 20  # code points that are counted at once
 LANGUAGES_MOST = 4096  # what is sent to the tasks is at most this many profiles
 
@@ -51,13 +51,13 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     letter = _is_letter(codes) if len(codes) else np.zeros(0, bool)
     kept = letter.copy()
     kept[1:] |= letter[:-1]  # one space after each word
-    line = np.concatenate([[0], np.where(letter, codes, 0)[kept]]).astype(np.int64)
+    line = np.concatenate([[SPACE], np.where(letter, codes, SPACE)[kept]]).astype(np.int64)
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if line[-1]:
-        line = np.append(line, 0)
+    if line[-1] != SPACE:
+        line = np.append(line, SPACE)
     grams, counts = [], []
-    spaces = np.flatnonzero(line == 0)
+    spaces = np.flatnonzero(line == SPACE)
     start = 0
     while start < len(line) - 1:
         end = len(line) - 1
@@ -65,16 +65,15 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
             end = int(spaces[max(np.searchsorted(spaces, start + PIECE, "right") - 1, 0)])
             end = end if end > start else int(spaces[np.searchsorted(spaces, start, "right")])
         part = line[start : end + 1]
-        found = [part[part > 0]]
+        found = [part[part != SPACE]]
         for n in range(2, LONGEST + 1):
             gram = part[: len(part) - n + 1]
             for k in range(1, n):
                 gram = (gram << LETTER_BITS) | part[k : len(part) - n + 1 + k]
-            # a space stands at one end of an n-gram only
-            inner = np.ones(len(gram), bool)
+            inside = np.ones(len(gram), bool)  # spaces stand at the ends of an n-gram only
             for k in range(1, n - 1):
-                inner &= part[k : len(part) - n + 1 + k] > 0
-            found.append(gram[inner & (part[n - 1 :] + part[: len(gram)] > 0)])
+                inside &= part[k : len(part) - n + 1 + k] != SPACE
+            found.append(gram[inside])
         unique, count = np.unique(np.concatenate(found), return_counts=True)
         grams.append(unique)
         counts.append(count)

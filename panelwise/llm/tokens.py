@@ -150,7 +150,7 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
 def vocabulary_bits(path: str, *more_ids: int) -> int:
     from tokenizers import Tokenizer
 
-    return max(1, (max(Tokenizer.from_file(path).get_vocab_size() - 1, *more_ids)).bit_length())
+    return max(1, Tokenizer.from_file(path).get_vocab_size() - 1, *more_ids).bit_length()
 
 
 def write_tokens(
