@@ -220,7 +220,8 @@ def training_texts(
     share = F.when(F.col("toxic") == 1, toxic / max(1, n.get(1, 0))).otherwise(ordinary / max(1, n.get(0, 0)))
     drawn = known.where(hash60(F.concat(F.lit("sample"), key)) < share * float(1 << 60))
     texts = docs.select(quoted(id_col).alias(id_col), quoted(text_col).alias("text")).where("text IS NOT NULL")
-    rows = drawn.join(texts, id_col).select("toxic", "text").orderBy("toxic", hash60(F.col("text"))).collect()
+    # Two expected numbers of rows, both parameters, bound what is broadcast.
+    rows = texts.join(F.broadcast(drawn), id_col).select("toxic", "text").orderBy("toxic", hash60(F.col("text"))).collect()
     return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic != 1]
 
 
