@@ -18,20 +18,22 @@ def if_else_na(cond: Column, yes, no) -> Column:
     return F.when(cond, yes).when(~cond, no)
 
 
-def exact_sum(c: Column | str, scale: int = 2) -> Column:
-    """Sum of a measure with ``scale`` decimals, independent of row order."""
-    return F.sum(as_col(c).cast(f"decimal(18,{scale})")).cast("double")
+def exact_sum(c: Column | str) -> Column:
+    """Sum that loses nothing and, where it can, does not depend on the order of the rows.
 
-
-def sum0(c: Column | str, scale: int = 2) -> Column:
-    """Sum that skips nulls and is 0 when nothing is left."""
-    return F.coalesce(exact_sum(c, scale), F.lit(0.0))
+    Values below 1e18 that ten decimals hold exactly add up in DECIMAL; all others
+    (longer fractions, larger numbers, infinities) add up as doubles.
+    """
+    x = as_col(c).cast("double")
+    fixed = x.try_cast("decimal(28,10)")
+    fits = F.coalesce((F.abs(x) < 1e18) & (fixed.cast("double") == x), F.lit(False))
+    exact, rest = F.sum(F.when(fits, fixed)).cast("double"), F.sum(F.when(~fits, x))
+    return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)
 
 
-def max_strict(c: Column | str) -> Column:
-    """Maximum that is null as soon as one value of the group is null."""
-    c = as_col(c)
-    return F.when(F.count(F.lit(1)) == F.count(c), F.max(c))
+def sum0(c: Column | str) -> Column:
+    """Sum that skips nulls and is 0 when nothing is left."""
+    return F.coalesce(exact_sum(c), F.lit(0.0))
 
 
 def ratio(num: Column | str, den: Column | str, keep_inf: bool = False) -> Column:
@@ -68,18 +70,6 @@ def recode(c: Column | str, mapping: dict[str, str]) -> Column:
     return out.otherwise(c)
 
 
-def replace_first(c: Column | str, literal: str, replacement: str) -> Column:
-    """Replace the first occurrence of a literal text."""
-    c = as_col(c)
-    at = F.instr(c, literal)
-    swapped = F.concat(
-        F.substring(c, F.lit(1), at - 1),
-        F.lit(replacement),
-        F.substring(c, at + len(literal), F.length(c)),
-    )
-    return F.when(at > 0, swapped).otherwise(c)
-
-
 def to_number(c: Column | str) -> Column:
     """Text to double; text that is no number becomes null."""
     return as_col(c).try_cast("double")
@@ -107,14 +97,3 @@ def indicator_code(indicator: Column | str, part: Column | str) -> Column:
 def display_name(agency: Column | str, owner: Column | str, partner: Column | str) -> Column:
     """``agency owner partner`` as one label."""
     return F.concat_ws(" ", as_col(agency), as_col(owner), as_col(partner))
-
-
-def ordered_bucket(c: Column | str, per_unit: int = 64) -> Column:
-    """Order-preserving bucket number of a double.
-
-    ``log1p`` never exceeds 709.8 for a finite double, so there are fewer than
-    ``2 * 710 * per_unit`` buckets whatever the data: a table with one row per
-    bucket is safe to broadcast.
-    """
-    c = as_col(c).cast("double")
-    return F.floor(F.signum(c) * F.log1p(F.abs(c)) * per_unit).cast("int")

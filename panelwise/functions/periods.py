@@ -39,14 +39,6 @@ def fiscal_label(date: Column | str, start_month: int = 10) -> Column:
     return index_label(fiscal_index(date, start_month))
 
 
-def label_index(label: Column | str, pivot: int = 70) -> Column:
-    """Index of a ``FYyyQq`` label; two-digit years from ``pivot`` on are 19yy."""
-    label = as_col(label)
-    yy = F.regexp_extract(label, "^FY([0-9]{2})Q[1-4]$", 1).try_cast("int")
-    q = F.regexp_extract(label, "^FY[0-9]{2}Q([1-4])$", 1).try_cast("int")
-    return (F.when(yy >= pivot, yy + 1900).otherwise(yy + 2000) * 4 + q).cast("int")
-
-
 def period_text_month(text: Column | str) -> Column:
     """The first ``Mon YYYY`` in a text, null when there is none."""
     return F.nullif(F.regexp_extract(as_col(text), r"\p{Alpha}{3} [0-9]{4}", 0), F.lit(""))
@@ -55,7 +47,7 @@ def period_text_month(text: Column | str) -> Column:
 def month_date(month: Column | str) -> Column:
     """First day of a ``Mon YYYY`` month; null when the name is no month."""
     m = as_col(month)
-    at = F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), F.substring(m, 1, 3))
+    at = F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), F.initcap(F.substring(m, 1, 3)))
     number = F.when((at - 1) % 3 == 0, ((at + 2) / 3).cast("int"))
     return F.make_date(F.substring(m, 5, 4).cast("int"), number, F.lit(1))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.columns import if_else_na, to_number
 from panelwise.functions.periods import fiscal_index, index_label, month_date, period_text_month
 from panelwise.operators.joins import enrich, replace_by_label
-from panelwise.operators.shape import WORD_BREAK, arrange_columns, pick_level, split_parts
+from panelwise.operators.shape import WORD_BREAK, arrange_columns, pick_level
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 # Column names of the raw extract and of the clean panel.
@@ -72,12 +72,6 @@ def owner_text(mech: Column | str) -> Column:
     return F.regexp_replace(mech, "^0000(0|1)", "ZZZ - 0000$1 -")
 
 
-def owner_parts(mech: Column | str) -> list[Column]:
-    """Owner text, its code and its name."""
-    text = owner_text(mech)
-    return [text.alias("mech"), *split_parts(text, [None, "mech_code", "mech_name"])]
-
-
 def clean_extract(
     raw: DataFrame,
     countries: DataFrame,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.columns import false_if_null
 from panelwise.functions.periods import index_label
 from panelwise.operators.grid import on_periods, period_bound, period_table
-from panelwise.operators.joins import enrich
+from panelwise.operators.joins import enrich, keep_keys
 from panelwise.spec import (
     ADJUSTED,
     DEDUP_AGENCY,
@@ -74,21 +74,29 @@ def flag_lone_obs(
 
 
 def site_periods(
-    panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, periods: DataFrame | None = None
+    panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, periods: DataFrame | None = None, lag: int = 2
 ) -> DataFrame:
     """One row per (site, period) with a value: what the flags need of the site.
 
     ``flag_multimech_site``, ``last_obs_site``, the first owner and group of the
-    site's next observed period, whether the one and two periods before had
-    several owners, whether two periods before was observed, and whether this is
-    the last period of the table.
+    site's next observed period, whether the period before had several owners,
+    whether the row ``lag`` steps back has a value and is alone in its period, and
+    whether this is the last period of the table.
+
+    Steps go over rows; a period without rows counts as one.  Seen from a row that is
+    alone in its period, the row ``lag`` steps back lies in the first period back up to
+    which the periods between hold ``lag`` rows.
     """
     w = W.partitionBy(spec.site).orderBy("seen_pos")
-    one_back, two_back = w.rangeBetween(-1, -1), w.rangeBetween(-2, -2)
     multi = F.col("flag_multimech_site")
+    back = lambda c, k: F.max(c).over(w.rangeBetween(-k, -k))
+    rows, alone = F.lit(0).cast("long"), F
+    for k in range(1, lag + 1):
+        rows = rows + F.coalesce(back("_rows", k), F.lit(1))
+        alone = alone.when(rows >= lag, F.coalesce(back("_rows", k) == 1, F.lit(False)))
     first = F.struct(F.col(spec.owner).alias("owner"), F.col(spec.group).alias("group"))
     per_site = _seen(panel, spec).groupBy(spec.site, spec.index).agg(
-        (F.count(F.lit(1)) > 1).alias("flag_multimech_site"), F.min(first).alias("_first")
+        (F.count(F.lit(1)) > 1).alias("flag_multimech_site"), F.count(F.lit(1)).alias("_rows"), F.min(first).alias("_first")
     )
     periods = _periods(panel, spec) if periods is None else periods
     return on_periods(per_site, periods, spec).select(
@@ -97,19 +105,18 @@ def site_periods(
         multi,
         F.max(spec.index).over(W.partitionBy(spec.site)).alias("last_obs_site"),
         F.lead("_first").over(w).alias("_next"),
-        false_if_null(F.max(multi).over(one_back)).alias("_multi_1"),
-        false_if_null(F.max(multi).over(two_back)).alias("_multi_2"),
-        (F.count(F.lit(1)).over(two_back) > 0).alias("_seen_2"),
+        false_if_null(back(multi, 1)).alias("_multi_1"),
+        alone.alias("_alone_back"),
         (F.col(spec.index) == F.col("seen_last")).alias("_final"),
     )
 
 
 def _on_site_period(
-    rows: DataFrame, panel: DataFrame, spec: PanelSpec, periods: DataFrame | None = None
+    rows: DataFrame, panel: DataFrame, spec: PanelSpec, periods: DataFrame | None = None, lag: int = 2
 ) -> DataFrame:
     """Join on (site, period).  Where one site-period holds much of the panel,
     adaptive execution splits its partition and repeats the one matching row."""
-    return rows.join(site_periods(panel, spec, periods), [spec.site, spec.index])
+    return rows.join(site_periods(panel, spec, periods, lag), [spec.site, spec.index])
 
 
 def _public(df: DataFrame, *drop: str) -> DataFrame:
@@ -198,15 +205,9 @@ def _method_column() -> Column:
 
 
 def _valid_column() -> Column:
-    """Valid when neither the row nor the row two steps back has several owners,
-    and the latter has a value.
-
-    If the period before has several owners, two rows back falls into that
-    period; if not, it is the period before that.
-    """
-    return (
-        ~F.col("flag_multimech_site") & ~F.col("_multi_1") & ~F.col("_multi_2") & F.col("_seen_2")
-    )
+    """Valid when neither the row nor the row ``lag`` steps back has several owners,
+    and the latter has a value."""
+    return ~F.col("flag_multimech_site") & F.col("_alone_back")
 
 
 def assign_method(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
@@ -214,8 +215,8 @@ def assign_method(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame
     return _public(out.withColumn("method", _method_column()), "last_obs_site")
 
 
-def flag_ratio_valid(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    out = _on_site_period(_seen(panel, spec), panel, spec)
+def flag_ratio_valid(panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, lag: int = 2) -> DataFrame:
+    out = _on_site_period(_seen(panel, spec), panel, spec, lag=lag)
     return _public(out.withColumn("vlc_valid", _valid_column()), "last_obs_site")
 
 
@@ -224,6 +225,7 @@ def flag_panel(
     spec: PanelSpec = DEFAULT_SPEC,
     labels: EndLabels = EndLabels(),
     stage=lambda df, name: df,
+    lag: int = 2,
 ) -> DataFrame:
     """All flags in one pass: windows per pair, one site-period table, one join.
 
@@ -231,7 +233,7 @@ def flag_panel(
     """
     periods = stage(_periods(panel, spec), "periods")
     pairs = _with_last_pair(flag_lone_obs(panel, spec, periods), spec)
-    ends = _on_site_period(pairs, panel, spec, periods).withColumns(
+    ends = _on_site_period(pairs, panel, spec, periods, lag).withColumns(
         {
             "flag_end_sitexmech": _end_column(spec),
             "method": _method_column(),
@@ -284,4 +286,4 @@ def transition_extracts(
         *[c for c in narrow if c in flags.columns]
     )
     ever = flags.where(later & F.col("flag_multimech_site")).select(spec.site).distinct()
-    return {"ends": ends, "out": out, "multi": flags.join(ever, spec.site, "left_semi")}
+    return {"ends": ends, "out": out, "multi": keep_keys(flags, ever, spec.site)}

@@ -91,19 +91,15 @@ def complete(
 def fill_down_up(
     df: DataFrame, cols: list[str], keys: list[str], order: list[str]
 ) -> DataFrame:
-    """Replace nulls by the last value before, else by the first value after."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    before = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    after = w.rowsBetween(W.currentRow, W.unboundedFollowing)
-    return df.withColumns(
-        {
-            c: F.coalesce(
-                F.last(c, ignorenulls=True).over(before),
-                F.first(c, ignorenulls=True).over(after),
-            )
-            for c in cols
-        }
-    )
+    """Replace nulls by the last value before, else by the first value after.
+
+    Both look back over a running frame, the second in descending order: a frame
+    that ends at the last row would be read again for every row.
+    """
+    forth, back = (W.partitionBy(*keys).orderBy(*[f(o) for o in order]) for f in (F.asc, F.desc))
+    so_far = (W.unboundedPreceding, W.currentRow)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(*so_far))
+    return df.withColumns({c: F.coalesce(last(c, forth), last(c, back)) for c in cols})
 
 
 def with_exits(
@@ -120,6 +116,8 @@ def with_exits(
     period) and ``observed``.  On exit rows the stock is 0.  This is all of the
     completed grid that can have a non-zero change, at most three times the input.
 
+    Two rows of a key in one period are an error.
+
     ``axis`` names the periods to step along.  Where the next period on the axis
     ``also`` lies beyond that step and the key is still absent there, it gets a
     row there too.  Each window holds one row per period of one key.
@@ -127,8 +125,10 @@ def with_exits(
     idx, val = F.col(spec.index), F.col(spec.value)
     nxt, seen_next = F.col(f"{axis}_next"), F.col("_seen_next")
     w = W.partitionBy(*keys).orderBy(spec.index)
+    named = F.concat_ws(", ", *[F.col(c).cast("string") for c in (*keys, spec.index)])
     prior = (
-        F.when(F.lag(nxt).over(w) == idx, F.lag(spec.value).over(w))
+        F.when(F.lag(idx).over(w) == idx, F.raise_error(F.concat(F.lit(f"several rows for {[*keys, spec.index]} = "), named)))
+        .when(F.lag(nxt).over(w) == idx, F.lag(spec.value).over(w))
         .when(idx != F.col(f"{axis}_first"), 0.0)
     )
     steps = [nxt] if also is None else [nxt, F.col(f"{also}_next")]

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwise.functions.columns import exact_sum, ordered_bucket, sum0
+from panelwise.functions.columns import sum0
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 
 def count_by(
-    df: DataFrame, keys: list[str], wt: str | None = None, name: str = "n", scale: int = 2
+    df: DataFrame, keys: list[str], wt: str | None = None, name: str = "n"
 ) -> DataFrame:
     """Rows per key, or the sum of a weight per key."""
-    n = F.count(F.lit(1)) if wt is None else sum0(wt, scale)
+    n = F.count(F.lit(1)) if wt is None else sum0(wt)
     return df.groupBy(*keys).agg(n.alias(name))
 
 
@@ -31,9 +31,9 @@ def count_distinct_by(
     return count_by(df.select(*keys, *what).distinct(), keys, name=name)
 
 
-def sum0_by(df: DataFrame, keys: list[str], cols: list[str], scale: int = 2) -> DataFrame:
+def sum0_by(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Sums that skip nulls and are 0 for groups without values."""
-    return df.groupBy(*keys).agg(*[sum0(c, scale).alias(c) for c in cols])
+    return df.groupBy(*keys).agg(*[sum0(c).alias(c) for c in cols])
 
 
 def add_share(df: DataFrame, col: str, keys: list[str] | None = None, name: str = "share") -> DataFrame:
@@ -70,6 +70,7 @@ def top_n_ties(df: DataFrame, col: str, n: int) -> DataFrame:
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
+RANK_BUCKETS = 256
 _STATS = {
     "sum": sum0,
     "max": F.max,
@@ -87,17 +88,20 @@ def display_rank(
 ) -> DataFrame:
     """Rank of each key by a statistic over its rows (1, 2, ... with ties equal).
 
-    Keys may be many, so the ranking is not one sort in one task: distinct
-    statistics are ranked inside order-preserving buckets, and each bucket gets
-    the number of values in the buckets before it.  The bucket table has a fixed
-    upper size (see ``ordered_bucket``).
+    Keys may be many, so the ranking is not one sort in one task: distinct statistics
+    are ranked inside RANK_BUCKETS buckets that hold about equally many of them, and
+    each bucket gets the number of values in the buckets before it.  The bounds of the
+    buckets are quantiles of the statistics, so they follow the data, however close
+    together it lies; the table of buckets has at most RANK_BUCKETS rows.
     """
     keys = [key] if isinstance(key, str) else key
     sign = -1 if desc else 1
     per_key = df.groupBy(*keys).agg(_STATS[fun](stat).cast("double").alias("_stat"))
-    values = per_key.select("_stat").distinct().withColumn(
-        "_bucket", ordered_bucket(F.col("_stat") * sign)
-    )
+    values = per_key.select("_stat").distinct()
+    shares = [F.lit(i / RANK_BUCKETS) for i in range(1, RANK_BUCKETS)]
+    bounds = values.agg(F.percentile_approx(F.col("_stat") * sign, F.array(*shares))).scalar()
+    below = F.size(F.filter("_bounds", lambda b: b < F.col("_stat") * sign))
+    values = values.withColumn("_bounds", bounds).withColumn("_bucket", F.when(F.col("_stat").isNotNull(), below))
     before = W.orderBy(F.col("_bucket").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         values.groupBy("_bucket")
@@ -116,12 +120,6 @@ def display_rank(
     return per_key.join(ranked, F.col("_stat").eqNullSafe(F.col("_s"))).select(*keys, name)
 
 
-def listed_rank(c: Column | str, order: list[str]) -> Column:
-    """Place of a value in a given list, null when it is not listed."""
-    at = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(c) if isinstance(c, str) else c)
-    return F.nullif(at, F.lit(0))
-
-
 def filter_extreme(df: DataFrame, col: str, how: str = "max", of: DataFrame | None = None) -> DataFrame:
     """Rows at the largest or smallest value of a column of the whole table.
 
@@ -159,8 +157,3 @@ def join_ordered(
     return df.groupBy(*keys).agg(
         F.concat_ws(sep, F.transform(ordered, lambda s: s["_v"])).alias(name)
     )
-
-
-def sum_by(df: DataFrame, keys: list[str], cols: list[str], scale: int = 2) -> DataFrame:
-    """Sums that are null for groups without values."""
-    return df.groupBy(*keys).agg(*[exact_sum(c, scale).alias(c) for c in cols])

@@ -24,13 +24,24 @@ def join_nullsafe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left"
 
 
 def enrich(df: DataFrame, dim: DataFrame, key: str, cols: list[str], dim_key: str | None = None) -> DataFrame:
-    """Left join that adds ``cols`` of a dimension.
+    """Left join that adds ``cols`` of a dimension; two dimension rows of a key are an error.
 
     No broadcast hint: dimensions of owners or sites grow with the data, so the
     planner compares their size with its broadcast threshold.
     """
-    right = dim.select(F.col(dim_key or key).alias(key), *cols)
-    return df.join(right, key, "left")
+    return df.join(one_per_key(dim.select(F.col(dim_key or key).alias(key), *cols), [key]), key, "left")
+
+
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The table as it is, if every key has one row; else an error that names a key.
+
+    The check is part of a partial aggregate that the join after it would shuffle for.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    text = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit(f"several rows for {keys} = "), text)))
+    checked = df.groupBy(*keys).agg(one.otherwise(F.first(F.struct(*rest))).alias("_row"))
+    return checked.select(*keys, "_row.*")
 
 
 def replace_by_label(df: DataFrame, dim: DataFrame, col: str, dim_key: str, label: str) -> DataFrame:

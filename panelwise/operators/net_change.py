@@ -141,23 +141,23 @@ def combine_net_change(
     )
 
 
-CONTEXT = ["_n", "_other_exit", "_lag2_rows", "_lag2_periods"]
+CONTEXT = ["_n", "_other_exit", "_lag_rows", "_lag_periods"]
 
 
 def site_context(
-    nn: DataFrame, spec: PanelSpec = DEFAULT_SPEC, periods: DataFrame | None = None
+    nn: DataFrame, spec: PanelSpec = DEFAULT_SPEC, periods: DataFrame | None = None, lag: int = 2
 ) -> DataFrame:
     """Facts about the site-period, for rows of site-periods with one or two rows.
 
     ``_n``: number of rows; ``_other_exit``: negative change of a row that left;
-    ``_lag2_rows`` / ``_lag2_periods``: the site's total stock two rows / two
-    periods back.  Site-periods with more rows get no match: no transfer is
-    attributed there, and a row that is valid for the lag never sits in one.
+    ``_lag_rows`` / ``_lag_periods``: the site's total stock ``lag`` rows / periods
+    back.  Site-periods with more rows get no match: no transfer is attributed
+    there, and a row that is valid for the lag never sits in one.
 
     Rows of a site are ordered by period and owner, and a period without rows
-    counts as one row.  With ``k`` rows of the same period before a row and ``c``
-    rows in the period before, two rows back is that period if ``k + c >= 2`` and
-    the one before it otherwise.
+    counts as one row.  With ``k`` rows of the same period before a row, the row
+    ``lag`` steps back lies in the first period back up to which there are
+    ``lag - k`` rows, or in the same period if ``k >= lag``.
     """
     if periods is None:
         every = period_arrays(nn, spec)
@@ -174,37 +174,36 @@ def site_context(
         F.min(spec.owner).alias("_first"),
         F.max(spec.owner).alias("_last"),
         F.max(F.when(stock.isNull() & (change < 0), change)).alias("_other_exit"),
-        sum0(spec.stock, spec.scale).alias("_total"),
+        sum0(spec.stock).alias("_total"),
     )
     per_site = (
         on_periods(per_site, periods, spec)
         .select(
             *per_site.columns,
-            back("_total", 1, 0.0).alias("_total_1"),
-            back("_total", 2, 0.0).alias("_total_2"),
-            back("_n", 1, 1).alias("_rows_1"),
+            *[back("_total", k, 0.0).alias(f"_total_{k}") for k in range(1, lag + 1)],
+            *[F.coalesce(back("_n", k, 1), F.lit(1)).alias(f"_rows_{k}") for k in range(1, lag)],
         )
         .where(F.col("_n") <= 2)
     )
     owners = F.array_distinct(F.array("_first", "_last"))
-    k = (F.col(spec.owner) > F.col("_first")).cast("int")
+    rows = (F.col(spec.owner) > F.col("_first")).cast("int")
+    rows_back = F.when(rows >= lag, F.col("_total"))
+    for k in range(1, lag):
+        rows = rows + F.col(f"_rows_{k}")
+        rows_back = rows_back.when(rows >= lag, F.col(f"_total_{k}"))
     facts = per_site.withColumn(spec.owner, F.explode(owners)).select(
         *spec.key,
         "_n",
         "_other_exit",
-        F.when(k + F.col("_rows_1") >= 2, F.col("_total_1"))
-        .otherwise(F.col("_total_2"))
-        .alias("_lag2_rows"),
-        F.col("_total_2").alias("_lag2_periods"),
+        rows_back.otherwise(F.col(f"_total_{lag}")).alias("_lag_rows"),
+        F.col(f"_total_{lag}").alias("_lag_periods"),
     )
     return nn.join(facts, spec.key, "left")
 
 
-def _with_context(nn: DataFrame, spec: PanelSpec, periods: DataFrame | None) -> DataFrame:
-    return nn if set(CONTEXT) <= set(nn.columns) else site_context(nn, spec, periods)
-
-
-def attribute_transfers(nn: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def attribute_transfers(
+    nn: DataFrame, spec: PanelSpec = DEFAULT_SPEC, periods: DataFrame | None = None
+) -> DataFrame:
     """Stock that moved from one owner to another.
 
     Where a site-period has exactly two rows and one of them left, the amount
@@ -215,7 +214,7 @@ def attribute_transfers(nn: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFr
     stock, change = F.col(spec.stock), F.col("tx_net_new")
     own = F.when(stock.isNull() & (change < 0), change)
     amount = F.when(F.col("_n") == 2, F.coalesce(own, F.col("_other_exit")))
-    out = _with_context(nn, spec, None).withColumn(
+    out = (nn if had_context else site_context(nn, spec, periods)).withColumn(
         "tx_xfer", if_else_na(change > 0, -amount, amount)
     )
     return out if had_context else out.drop(*CONTEXT)
@@ -260,17 +259,18 @@ def lag_stock(
     lag_mode: str = "rows",
     periods: DataFrame | None = None,
 ) -> DataFrame:
-    """The site's total stock two steps back, on rows valid for the ratio.
+    """The site's total stock ``n`` steps back, on rows valid for the ratio.
 
     ``lag_mode="rows"`` steps over the rows of the site, as the published
-    figures do; an exit row in the same or the previous quarter then makes it
-    read the previous quarter.  ``"periods"`` always steps two periods.
+    figures do; an exit row on the way then counts as a step.  ``"periods"`` always
+    steps ``n`` periods.  The column is named after ``n``.  Rows that already carry a
+    context (``site_context``) must carry one of the same lag.
     """
-    if n != 2 or lag_mode not in ("rows", "periods"):
-        raise ValueError("lag_stock supports n=2 with lag_mode 'rows' or 'periods'")
-    out = _with_context(nn, spec, periods)
-    value = F.when(F.col("vlc_valid"), F.col(f"_lag2_{lag_mode}"))
-    return out.withColumn("tx_curr_lag2_site", value).drop(*CONTEXT)
+    if n < 1 or lag_mode not in ("rows", "periods"):
+        raise ValueError("lag_stock steps back 1 or more, with lag_mode 'rows' or 'periods'")
+    out = nn if set(CONTEXT) <= set(nn.columns) else site_context(nn, spec, periods, n)
+    value = F.when(F.col("vlc_valid"), F.col(f"_lag_{lag_mode}"))
+    return out.withColumn(f"tx_curr_lag{n}_site", value).drop(*CONTEXT)
 
 
 def net_change_panel(
@@ -278,6 +278,7 @@ def net_change_panel(
     spec: PanelSpec = DEFAULT_SPEC,
     lag_mode: str = "rows",
     stage=lambda df, name: df,
+    lag: int = 2,
 ) -> DataFrame:
     """From flags to the full net-change table.
 
@@ -289,14 +290,14 @@ def net_change_panel(
     std = net_change_standard(flags, spec, periods=periods)
     adj = net_change_adjusted(flags, spec, periods=periods)
     nn = stage(combine_net_change(std, adj, spec), "net_change")
-    rows = site_context(nn, spec, periods)
+    rows = site_context(nn, spec, periods, lag)
     rows = propagate_flags(attribute_transfers(rows, spec), spec)
-    rows = lag_stock(net_change_plus(rows), spec, lag_mode=lag_mode)
+    rows = lag_stock(net_change_plus(rows), spec, lag, lag_mode)
     measures = [
         spec.stock,
         "tx_net_new",
         "tx_curr_lag_site",
-        "tx_curr_lag2_site",
+        f"tx_curr_lag{lag}_site",
         "tx_net_new_adj",
         "tx_net_new_adj_plus",
         "tx_xfer",

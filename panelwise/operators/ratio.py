@@ -11,7 +11,14 @@ from panelwise.functions.columns import comma_text, false_if_null, indicator_cod
 from panelwise.operators.groups import display_rank, last_value_of_group, sum0_by
 from panelwise.operators.joins import enrich, join_nullsafe
 from panelwise.operators.shape import quarters_to_periods, stack, to_wide
-from panelwise.spec import AGENCY_NAMES, DEFAULT_SPEC, NO_STOCK, PanelSpec
+from panelwise.spec import (
+    AGENCY_NAMES,
+    DEFAULT_SPEC,
+    DENOMINATOR_ROWS,
+    NO_STOCK,
+    STOCK_ROWS,
+    PanelSpec,
+)
 
 RATIO_COLUMNS = ["tx_pvls", "tx_pvls_d"]
 
@@ -71,30 +78,34 @@ def merge_ratio_numerator(
 def ratio_aggregate(
     wide: DataFrame,
     spec: PanelSpec = DEFAULT_SPEC,
-    since: int = 2018,
-    skip_periods: tuple[str, ...] = ("FY18Q1", "FY18Q2"),
-    drop_year: str = "FY18",
-    excluded_group: str = "Dedup",
+    since: int | None = None,
+    skip_periods: tuple[str, ...] = (),
+    drop_year: str | None = None,
+    excluded_group: str | None = None,
     lag_keys: list[str] | None = None,
 ) -> DataFrame:
     """Denominator and lag-2 stock per unit, group and partner, from the wide table.
 
-    ``lag_keys`` defaults to unit, group and partner; the published figures
+    Nothing is left out unless asked for: fiscal years before ``since``, a group,
+    periods that take no part, and a year that only serves the lag.  ``lag_keys``
+    defaults to unit, group and partner; the published figures
     lagged within the partner alone, across units.
     """
     partner = "primepartner"
     keys = [spec.unit, spec.group, partner]
-    chosen = ((F.col("indicator") == "TX_CURR") & (F.col("standardizeddisaggregate") == "Total Numerator")) | (
-        (F.col("indicator") == "TX_PVLS") & (F.col("standardizeddisaggregate") == "Total Denominator")
-    )
-    rows = wide.where(chosen & (F.col("fiscal_year") >= since) & (F.col(spec.group) != excluded_group))
+    named = F.struct("indicator", "standardizeddisaggregate")
+    rows = wide.where(named.isin(*[F.struct(F.lit(i), F.lit(d)) for i, d in (STOCK_ROWS, DENOMINATOR_ROWS)]))
+    if since is not None:
+        rows = rows.where(F.col("fiscal_year") >= since)
+    if excluded_group is not None:
+        rows = rows.where(F.col(spec.group) != excluded_group)
     coded = rows.withColumn("indicator", F.lower(indicator_code("indicator", "numeratordenom")))
     sums = sum0_by(
-        coded, ["fiscal_year", *keys, "indicator"], [f"qtr{q}" for q in (1, 2, 3, 4)], spec.scale
+        coded, ["fiscal_year", *keys, "indicator"], [f"qtr{q}" for q in (1, 2, 3, 4)]
     )
     long = quarters_to_periods(sums, [*keys, "indicator"], spec=spec)
     by_period = to_wide(
-        long.where(~F.col(spec.period).isin(*skip_periods)),
+        long.where(~F.col(spec.period).isin(*skip_periods)) if skip_periods else long,
         [spec.index, spec.period, *keys],
         "indicator",
         "value",
@@ -103,29 +114,25 @@ def ratio_aggregate(
     by = lag_keys or keys
     order = [spec.index, *[k for k in keys if k not in by]]
     lag2 = F.lag("tx_curr", 2).over(W.partitionBy(*by).orderBy(*order))
-    return (
-        by_period.withColumn("tx_curr_lag2", lag2)
-        .drop("tx_curr")
-        .where(~F.col(spec.period).startswith(drop_year))
-        .withColumn("source", F.lit("MSD"))
-    )
+    lagged = by_period.withColumn("tx_curr_lag2", lag2).drop("tx_curr").withColumn("source", F.lit("MSD"))
+    return lagged if drop_year is None else lagged.where(~F.col(spec.period).startswith(drop_year))
 
 
 def ratio_validated(
     final: DataFrame,
     spec: PanelSpec = DEFAULT_SPEC,
-    drop_year: str = "FY18",
-    excluded_group: str = "Dedup",
+    drop_year: str | None = None,
+    excluded_group: str | None = None,
 ) -> DataFrame:
     """Denominator and lag-2 stock per unit, group and partner, valid rows only."""
-    rows = final.where(
-        ~F.col(spec.period).contains(drop_year)
-        & ~F.col(spec.group).contains(excluded_group)
-        & F.col("vlc_valid")
-    )
+    rows = final.where("vlc_valid")
+    if drop_year is not None:
+        rows = rows.where(~F.col(spec.period).contains(drop_year))
+    if excluded_group is not None:
+        rows = rows.where(~F.col(spec.group).contains(excluded_group))
     keys = [spec.index, spec.period, spec.unit, spec.group, "primepartner"]
     return (
-        sum0_by(rows, keys, ["tx_pvls_d", "tx_curr_lag2_site"], spec.scale)
+        sum0_by(rows, keys, ["tx_pvls_d", "tx_curr_lag2_site"])
         .withColumnRenamed("tx_curr_lag2_site", "tx_curr_lag2")
         .withColumn("source", F.lit("Adjusted"))
     )
@@ -136,10 +143,12 @@ def ratio_compare(
     validated: DataFrame,
     spec: PanelSpec = DEFAULT_SPEC,
     keep_inf: bool = False,
+    stage=lambda df, name: df,
 ) -> DataFrame:
     """Both ratios stacked, with the latest stock, its rank and the band between them.
 
-    A window here holds at most two rows per period of one unit, group and
+    ``stage`` is called on the labelled rows, which the ranks read once more.  A
+    window here holds at most two rows per period of one unit, group and
     partner.  Rows with a zero stock drop out unless ``keep_inf``.
     """
     keys = [spec.unit, spec.group, "primepartner"]
@@ -164,6 +173,7 @@ def ratio_compare(
             "pd_max": F.max("vlc").over(band),
         }
     )
+    labelled = stage(labelled, "ratio_rows")
     ranks = display_rank(labelled, "facet_label", "latest_tx", desc=True, name="facet_rank")
     return join_nullsafe(labelled, ranks, ["facet_label"])
 

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.functions.columns import as_col
 from panelwise.functions.periods import index_label
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
@@ -53,36 +52,51 @@ def pick_level(
 WORD_BREAK = r"[^\p{Alnum}]+"
 
 
-def split_parts(
-    c: Column | str, into: list[str | None], pattern: str = WORD_BREAK
-) -> list[Column]:
-    """Pieces of a text as named columns; unnamed pieces are left out.
-
-    The last piece keeps the rest of the text whole.
-    """
-    parts = F.split(as_col(c), pattern, len(into))
-    return [F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(into) if n]
-
-
 def stack(*dfs: DataFrame) -> DataFrame:
     """Rows of all tables; a column one of them lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
+def names_of(df: DataFrame, name: str, order: str | None = None, most: int = 2000) -> list:
+    """Distinct values of a column that are to become columns, in order.
+
+    Reads one row per value to the driver, so the table should be a small or staged
+    aggregate; more than ``most`` values are an error, since no table is that wide.
+    """
+    by = order or name
+    found = df.where(F.col(name).isNotNull()).select(*dict.fromkeys([name, by])).distinct()
+    names = list(dict.fromkeys(r[name] for r in found.orderBy(by).limit(most + 1).collect()))
+    if len(names) > most:
+        raise ValueError(f"{name} has more than {most} values, too many for columns")
+    return names
+
+
 def to_wide(
     df: DataFrame,
     keys: list[str],
     name: str,
     value: str,
-    names: list[str],
+    names: list | None = None,
     fill: object | None = None,
     prefix: str = "",
+    order: str | None = None,
 ) -> DataFrame:
-    """One column per listed value of ``name``; keys and names must be unique.
+    """One column per value of ``name``.
 
-    The list is required: it fixes the schema and saves a pass over the data.
+    Without ``names`` they are read from the data, in the order of ``order``.  A value
+    that is not among given names is an error, and so are two values for one cell.
     """
-    wide = df.groupBy(*keys).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
+    names = names_of(df, name, order) if names is None else list(names)
+    if not names:
+        return df.select(*keys).distinct()
+    text = F.coalesce(F.col(name).cast("string"), F.lit("null"))
+    known = F.when(F.col(name).isin(*names), F.col(name)).otherwise(
+        F.raise_error(F.concat(F.lit(f"{name} has a value without a column: "), text))
+    )
+    cell = F.when(
+        F.count(value) > 1, F.raise_error(F.lit(f"several values of {value} for one of {keys} and {name}"))
+    ).otherwise(F.first(value, ignorenulls=True))
+    wide = df.withColumn(name, known).groupBy(*keys).pivot(name, names).agg(cell)
     cols = [F.col(f"`{n}`") for n in names]
     if fill is not None:
         cols = [F.coalesce(c, F.lit(fill)) for c in cols]
@@ -104,11 +118,9 @@ def quarters_to_periods(
     spec: PanelSpec = DEFAULT_SPEC,
 ) -> DataFrame:
     """Columns ``qtr1`` .. ``qtr4`` of a fiscal year as one row per period."""
-    long = to_long(df, [year, *keys], [f"qtr{q}" for q in (1, 2, 3, 4)], "_qtr", value)
-    index = (F.col(year) * 4 + F.substring("_qtr", 4, 1).cast("int")).cast("int")
-    return long.select(
-        *keys,
-        index.alias(spec.index),
-        index_label(index).alias(spec.period),
-        value,
+    quarters = F.array(
+        *[F.struct((F.col(year) * 4 + q).cast("int").alias("i"), F.col(f"qtr{q}").alias("v")) for q in (1, 2, 3, 4)]
     )
+    long = df.select(*keys, F.explode(quarters).alias("_q"))
+    placed = long.select(*keys, F.col("_q")["i"].alias(spec.index), F.col("_q")["v"].alias(value))
+    return placed.select(*keys, spec.index, index_label(spec.index).alias(spec.period), value)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from panelwise.functions.periods import (
 )
 from panelwise.operators import flags as fl
 from panelwise.operators import net_change as nc
-from panelwise.operators.clean import clean_extract
+from panelwise.operators.clean import clean_extract, country_dim_from, org_hierarchy
 from panelwise.operators.grid import (
     complete,
     fill_down_up,
@@ -27,10 +28,18 @@ from panelwise.operators.grid import (
 )
 from panelwise.operators.ratio import ratio_aggregate, ratio_compare, ratio_validated
 from panelwise.operators.review import multi_owner_pairs, multi_owner_sites
+from panelwise.operators.shape import stack
 from panelwise.plans import pipeline, reports
 from panelwise.sources import testbed as tb
-from panelwise.sources.readers import latest_snapshot, scope_extract
-from panelwise.sources.stages import stage
+from panelwise.sources.readers import (
+    FLAGS_SCHEMA,
+    latest_snapshot,
+    read_extract,
+    scope_extract,
+    typed_schema,
+)
+from panelwise.sources.stages import run_folder, stage
+from panelwise.sources.writers import write_by, write_extracts
 from panelwise.spec import FLAG_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,13 +122,21 @@ def _staged_flags(spark: SparkSession, d: str) -> DataFrame:
     return stage(_flags(spark, d), "flags")
 
 
-def _combined(spark: SparkSession, d: str) -> DataFrame:
+def _combined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both net changes, and the period table they were stepped along."""
     flags = _staged_flags(spark, d)
-    return nc.combine_net_change(nc.net_change_standard(flags), nc.net_change_adjusted(flags))
+    periods = stage(nc.net_change_periods(flags), "periods")
+    std, adj = nc.net_change_standard(flags, periods=periods), nc.net_change_adjusted(flags, periods=periods)
+    return nc.combine_net_change(std, adj), periods
+
 
+def _transfers(spark: SparkSession, d: str) -> DataFrame:
+    combined, periods = _combined(spark, d)
+    return nc.attribute_transfers(stage(combined, "net_change"), periods=periods)
 
-def _net_change(spark: SparkSession, d: str, lag_mode: str = "rows") -> DataFrame:
-    return pipeline.net_change_stage(_panel(spark, d), lag_mode=lag_mode)
+
+def _net_change(spark: SparkSession, d: str, lag_mode: str = "rows", lag: int = 2) -> DataFrame:
+    return pipeline.net_change_stage(_panel(spark, d), lag_mode=lag_mode, lag=lag)
 
 
 def _review_net_change(spark: SparkSession, d: str) -> DataFrame:
@@ -129,10 +146,10 @@ def _review_net_change(spark: SparkSession, d: str) -> DataFrame:
     return reports.after_first_period(_name(spark, d, nn), first_period=first)
 
 
-def _final(spark: SparkSession, d: str) -> DataFrame:
+def _final(spark: SparkSession, d: str, panel: DataFrame | None = None, ratio: DataFrame | None = None) -> DataFrame:
     return pipeline.final_stage(
-        _panel(spark, d),
-        tb.ratio_panel(spark, d),
+        _panel(spark, d) if panel is None else panel,
+        tb.ratio_panel(spark, d) if ratio is None else ratio,
         tb.owner_dim(spark, d),
         tb.org_dim(spark, d),
     )
@@ -269,7 +286,7 @@ def net_change_adjusted(spark, d):
 
 
 def net_change_combined(spark, d):
-    rows = nc.net_change_plus(_combined(spark, d))
+    rows = nc.net_change_plus(_combined(spark, d)[0])
     return _labelled(
         rows,
         *PAIR,
@@ -282,13 +299,11 @@ def net_change_combined(spark, d):
 
 
 def transfers(spark, d):
-    rows = nc.attribute_transfers(stage(_combined(spark, d), "net_change"))
-    return _labelled(rows, *PAIR, "tx_xfer")
+    return _labelled(_transfers(spark, d), *PAIR, "tx_xfer")
 
 
 def flags_propagated(spark, d):
-    rows = nc.attribute_transfers(stage(_combined(spark, d), "net_change"))
-    return _labelled(nc.propagate_flags(rows), *PAIR, "tx_xfer", *FLAG_COLUMNS)
+    return _labelled(nc.propagate_flags(_transfers(spark, d)), *PAIR, "tx_xfer", *FLAG_COLUMNS)
 
 
 def net_change_full(spark, d):
@@ -303,6 +318,20 @@ def lag2_periods(spark, d):
     return _labelled(_net_change(spark, d, "periods"), *PAIR, "tx_curr_lag2_site")
 
 
+def lag1_periods(spark, d):
+    return _labelled(_net_change(spark, d, "periods", 1), *PAIR, "tx_curr_lag1_site")
+
+
+def lag3_rows(spark, d):
+    return _labelled(_net_change(spark, d, "rows", 3), *PAIR, "tx_curr_lag3_site")
+
+
+def ratio_valid(lag):
+    return lambda spark, d: _labelled(
+        fl.flag_ratio_valid(_staged_panel(spark, d), lag=lag), *PAIR, "vlc_valid"
+    )
+
+
 def ratio_merge(spark, d):
     return _final(spark, d).select(
         *PAIR, "tx_curr", "tx_net_new", "tx_pvls_d", "tx_pvls", "method", "vlc_valid"
@@ -316,16 +345,16 @@ SHARES = ("share", "cum_share")
 
 def owner_pairs(spark, d):
     flagged, first = _flagged_with_start(spark, d)
-    return multi_owner_pairs(flagged, group_strip="De|up", first_period=first)
+    return multi_owner_pairs(flagged, group_strip="De|up", first_period=first, stage=stage)
 
 
 def owner_sites(spark, d):
     flagged, first = _flagged_with_start(spark, d)
-    return multi_owner_sites(flagged, tb.PERIODS, group_strip="De|up", first_period=first)
+    return multi_owner_sites(flagged, group_strip="De|up", first_period=first, stage=stage)
 
 
 def sites_with_owners(spark, d):
-    out = reports.multi_owner_histogram(_named_panel(spark, d), [1, 2, 3, 4, 5])
+    out = reports.multi_owner_histogram(_named_panel(spark, d), stage=stage)
     return out.drop("period_idx")
 
 
@@ -334,8 +363,8 @@ def multi_share_by_period(spark, d):
 
 
 def multi_share_wide(spark, d):
-    out = reports.multi_share_wide(_named_panel(spark, d), tb.PERIODS)
-    return rounded(out, *tb.PERIODS)
+    out = reports.multi_share_wide(_named_panel(spark, d), stage=stage)
+    return rounded(out, *[c for c in out.columns if c != "operatingunit"])
 
 
 def multi_share_labels(spark, d):
@@ -349,12 +378,12 @@ def multi_rows_one_unit(spark, d):
 
 
 def multi_counts_ranked(spark, d):
-    out = reports.multi_counts_ranked(_named_panel(spark, d), REGIONAL)
+    out = reports.multi_counts_ranked(_named_panel(spark, d), REGIONAL, stage=stage)
     return out.drop("period_idx")
 
 
 def multi_unit_count(spark, d):
-    return reports.multi_unit_count(reports.multi_counts_ranked(_named_panel(spark, d), REGIONAL))
+    return reports.multi_unit_count(reports.multi_counts_ranked(_named_panel(spark, d), REGIONAL, stage=stage))
 
 
 def largest_countries(spark, d):
@@ -392,30 +421,34 @@ def site_type_multi(spark, d):
     return rounded(out, "share_result", "share_sites")
 
 
+CHANGES = ("tx_net_new", "tx_net_new_adj_plus")  # differences of doubles
+
+
 def net_change_by_owner(spark, d):
-    return reports.net_change_by_owner(_review_net_change(spark, d)).drop("period_idx")
+    out = reports.net_change_by_owner(_review_net_change(spark, d), stage=stage)
+    return rounded(out.drop("period_idx"), *CHANGES)
 
 
 def _by_owner(spark, d):
-    return reports.net_change_by_owner(_review_net_change(spark, d), PSEUDO)
+    return reports.net_change_by_owner(_review_net_change(spark, d), PSEUDO, stage=stage)
 
 
 def net_change_by_true_owner(spark, d):
-    return _by_owner(spark, d).drop("period_idx")
+    return rounded(_by_owner(spark, d).drop("period_idx"), *CHANGES)
 
 
 def net_change_delta_long(spark, d):
-    return reports.net_change_delta_long(_by_owner(spark, d), FISCAL_YEAR, STOPPED_IN)
+    return rounded(reports.net_change_delta_long(_by_owner(spark, d), FISCAL_YEAR, STOPPED_IN), "value")
 
 
 def net_change_labels(spark, d):
     long = reports.net_change_delta_long(_by_owner(spark, d), FISCAL_YEAR, STOPPED_IN)
-    return reports.net_change_labels(long, PSEUDO)
+    return rounded(reports.net_change_labels(long, PSEUDO, stage=stage), "value", "match")
 
 
-def _aggregate(spark, d, lag_keys=None):
+def _aggregate(spark, d, lag_keys=None, wide=None):
     return ratio_aggregate(
-        stage(tb.fiscal_wide(spark, d), "fiscal"),
+        stage(tb.fiscal_wide(spark, d), "fiscal") if wide is None else wide,
         since=SINCE,
         skip_periods=SKIP,
         drop_year=DROP,
@@ -432,8 +465,15 @@ def ratio_aggregate_by_partner(spark, d):
     return _aggregate(spark, d, ["primepartner"]).drop("period_idx")
 
 
-def _validated(spark, d):
-    return ratio_validated(_final(spark, d), drop_year=DROP, excluded_group=tb.DEDUP)
+def ratio_aggregate_stacked(spark, d):
+    """The wide table as it comes: a current and a historic one, put under each other."""
+    wide = stage(tb.fiscal_wide(spark, d), "fiscal")
+    historic, current = (wide.where(c) for c in ("fiscal_year < 1998", "fiscal_year >= 1998"))
+    return _aggregate(spark, d, wide=stack(current, historic)).drop("period_idx")
+
+
+def _validated(spark, d, **panels):
+    return ratio_validated(_final(spark, d, **panels), drop_year=DROP, excluded_group=tb.DEDUP)
 
 
 def ratio_validated_query(spark, d):
@@ -441,7 +481,10 @@ def ratio_validated_query(spark, d):
 
 
 def _compare(spark, d):
-    out = ratio_compare(_aggregate(spark, d), stage(_validated(spark, d), "validated"))
+    panel, ratio = _staged_panel(spark, d), stage(tb.ratio_panel(spark, d), "ratio_panel")
+    wide = stage(tb.fiscal_wide(spark, d, panel, ratio), "fiscal")
+    validated = stage(_validated(spark, d, panel=panel, ratio=ratio), "validated")
+    out = ratio_compare(_aggregate(spark, d, wide=wide), validated, stage=stage)
     return rounded(out.drop("period_idx"), "vlc", "top_ln", "pd_min", "pd_max")
 
 
@@ -450,7 +493,47 @@ def ratio_compare_one_unit(spark, d):
 
 
 def site_history_wide(spark, d):
-    return reports.site_history_wide(fl.label_periods(_net_change(spark, d)), tb.PERIODS)
+    nn = stage(_net_change(spark, d), "net_change_full")
+    return reports.site_history_wide(fl.label_periods(nn))
+
+
+# -- files ----------------------------------------------------------------------
+
+
+def landed_extract(spark, d):
+    """The raw extract, landed as text files split by indicator, read back and cleaned."""
+    raw = tb.raw_extract(spark, d)
+    path = f"{run_folder(spark)}/landed-{uuid4().hex}"
+    write_by(raw, "Technical Area", path, "csv")
+    landed = read_extract(spark, path, typed_schema(raw.columns))
+    clean = clean_extract(landed, tb.country_list(spark, d), tb.agency_list(spark, d))
+    return clean.drop("period_idx")
+
+
+def landed_flags(spark, d):
+    """The flags as a text file, read back with their schema."""
+    path = f"{run_folder(spark)}/extracts-{uuid4().hex}"
+    write_extracts({"flags": _flagged(spark, d).select(*FLAGS_SCHEMA.names)}, path)
+    return read_extract(spark, f"{path}/flags", FLAGS_SCHEMA)
+
+
+def country_levels(spark, d):
+    nation, region = tb.table(spark, d, "nation"), tb.table(spark, d, "region")
+    levels = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("country_name"), F.col("r_name").alias("name3"), (F.col("n_nationkey") % 3 + 4).alias("facility")
+    )
+    units = nation.where("n_nationkey < 20").select(
+        F.col("n_name").alias("displayName"), F.format_string("id%d", "n_nationkey").alias("id")
+    )
+    return country_dim_from(levels, units)
+
+
+def unit_hierarchy(spark, d):
+    units = tb.table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("uid"), F.when(F.col("n_nationkey") % 2 == 0, "OU").otherwise("region").alias("type")
+    )
+    sites = tb.table(spark, d, "customer").select(F.col("c_nationkey").alias("uid"), F.col("c_custkey").alias("site"))
+    return org_hierarchy(units, sites)
 
 
 def queries() -> dict[str, Query]:
@@ -491,6 +574,10 @@ def queries() -> dict[str, Query]:
         "net_change_full": net_change_full,
         "lag2_rows": lag2_rows,
         "lag2_periods": lag2_periods,
+        "lag1_periods": lag1_periods,
+        "lag3_rows": lag3_rows,
+        "ratio_valid_lag1": ratio_valid(1),
+        "ratio_valid_lag3": ratio_valid(3),
         "ratio_merge": ratio_merge,
         "multi_owner_pairs": owner_pairs,
         "multi_owner_sites": owner_sites,
@@ -518,6 +605,10 @@ def queries() -> dict[str, Query]:
         "ends_period_type": lambda s, d: reports.ends_period_type(_review(s, d)).drop("period_idx"),
         "multi_site_share": multi_site_share,
         "multi_site_share_mean": multi_site_share_mean,
+        "multi_site_share_without_owner": lambda s, d: rounded(
+            reports.multi_site_share(reports.after_first_period(_flagged(s, d), excluded_owners=PSEUDO)).drop("period_idx"),
+            "share",
+        ),
         "site_type_shares": site_type_shares,
         "site_type_multi": site_type_multi,
         "net_change_by_owner": net_change_by_owner,
@@ -526,14 +617,19 @@ def queries() -> dict[str, Query]:
         "net_change_labels": net_change_labels,
         "ratio_aggregate": ratio_aggregate_query,
         "ratio_aggregate_by_partner": ratio_aggregate_by_partner,
+        "ratio_aggregate_stacked": ratio_aggregate_stacked,
         "ratio_validated": ratio_validated_query,
         "ratio_compare": _compare,
         "ratio_compare_one_unit": ratio_compare_one_unit,
-        "lone_obs_wide": lambda s, d: reports.lone_obs_wide(_review(s, d), tb.PERIODS, PSEUDO),
+        "lone_obs_wide": lambda s, d: reports.lone_obs_wide(_review(s, d), None, PSEUDO, stage=stage),
         "exits_by_country": lambda s, d: reports.exits_by_country(_review(s, d)),
         "country_type_shares": lambda s, d: rounded(
             reports.country_type_shares(_review(s, d), COUNTRY, QUARTER), "share"
         ),
         "country_pairs": lambda s, d: reports.country_pairs(_review(s, d)),
         "site_history_wide": site_history_wide,
+        "landed_extract": landed_extract,
+        "landed_flags": landed_flags,
+        "country_levels": country_levels,
+        "unit_hierarchy": unit_hierarchy,
     }

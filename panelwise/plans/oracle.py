@@ -19,7 +19,6 @@ from panelwise.plans.catalog import (
     UNIT,
     UNIT_NAMES,
 )
-from panelwise.sources.testbed import PERIODS
 
 
 def label(i: str = "period_idx") -> str:
@@ -53,10 +52,6 @@ def quoted(items) -> str:
     return ", ".join(f"'{i}'" for i in items)
 
 
-def wide(value: str, names=PERIODS, by: str = "period", prefix: str = "", agg: str = "max") -> str:
-    return ", ".join(f"{agg}(CASE WHEN {by} = '{n}' THEN {value} END) AS \"{prefix}{n}\"" for n in names)
-
-
 def filled(c: str, down: str = "dn", up: str = "up") -> str:
     return (
         f"coalesce(last_value({c} IGNORE NULLS) OVER {down}, "
@@ -608,19 +603,19 @@ FROM (SELECT DISTINCT operatingunit, period_idx, period, mechs FROM lists) GROUP
             SITE_OWNERS,
         ),
         "multi_owner_sites": q(
-            f"""
-SELECT operatingunit, orgunituid, snu1, psnu, facility, {wide('mechs')},
-       CAST(NULL AS VARCHAR) AS "why multi mechs? pops serving? full duplication?"
-FROM lists GROUP BY ALL""",
+            "PIVOT cells ON period USING max(mechs)",
             *REVIEW,
             SITE_OWNERS,
+            """
+cells AS (SELECT operatingunit, orgunituid, snu1, psnu, facility, period, mechs,
+                 CAST(NULL AS VARCHAR) AS "why multi mechs? pops serving? full duplication?" FROM lists)""",
         ),
         "multi_owner_histogram": q(
-            f"""
-SELECT period, operatingunit, {wide('sites', ['1', '2', '3', '4', '5'], 'CAST(n AS VARCHAR)', 'owners_')}
-FROM (SELECT period, operatingunit, n, count(*) AS sites FROM sizes GROUP BY ALL) GROUP BY ALL""",
+            "PIVOT cells ON n USING max(sites)",
             *NAMED,
             OWNERS_PER_SITE,
+            """
+cells AS (SELECT period, operatingunit, 'owners_' || n AS n, count(*) AS sites FROM sizes GROUP BY ALL)""",
         ),
         "multi_share_by_period": q(
             """
@@ -630,10 +625,11 @@ SELECT period, CAST(sum(single) AS BIGINT) AS single, CAST(sum(multi) AS BIGINT)
             OWNERS_PER_SITE,
         ),
         "multi_share_wide": q(
-            f"""
-SELECT operatingunit, {wide('round(multi / (single + multi), 6)')} FROM unit_share GROUP BY 1""",
+            "PIVOT cells ON period USING max(share)",
             *NAMED,
             OWNERS_PER_SITE,
+            """
+cells AS (SELECT operatingunit, period, round(multi / (single + multi), 6) AS share FROM unit_share)""",
         ),
         "multi_share_labels": q(
             f"""
@@ -758,11 +754,12 @@ JOIN (SELECT operatingunit AS u, dense_rank() OVER (ORDER BY m DESC) AS unit_ran
             f"SELECT * FROM compared WHERE operatingunit = '{UNIT}'", *COMPARED
         ),
         "lone_obs_wide": q(
-            f"""
-SELECT mech_code, {wide('n')}, max(n) AS max
-FROM (SELECT period, mech_code, count(DISTINCT orgunituid) AS n FROM review
-      WHERE flag_loneobs AND mech_code <> '5' GROUP BY ALL) GROUP BY 1""",
+            "PIVOT cells ON period USING max(n)",
             *REVIEW,
+            """
+lone_counts AS (SELECT period, mech_code, count(DISTINCT orgunituid) AS n FROM review
+                WHERE flag_loneobs AND mech_code <> '5' GROUP BY ALL),
+cells AS (SELECT *, max(n) OVER (PARTITION BY mech_code) AS max FROM lone_counts)""",
         ),
         "exits_by_country": q(
             """
@@ -786,10 +783,53 @@ FROM (SELECT DISTINCT countryname, period, orgunituid, mech_code FROM review) GR
             *REVIEW,
         ),
         "site_history_wide": q(
+            "PIVOT cells ON period USING max(value)",
+            *NETCHANGE,
+            """
+cells AS (SELECT orgunituid, mech_code, period, unnest(['tx_curr', 'tx_net_new', 'tx_net_new_adj']) AS indicator,
+                 unnest([tx_curr, tx_net_new, tx_net_new_adj]) AS value FROM nn)""",
+        ),
+        "landed_extract": q("SELECT * FROM clean", *vl_rows),
+        "landed_flags": q(
+            "SELECT * EXCLUDE (period_idx) REPLACE (CAST(orgunituid AS VARCHAR) AS orgunituid) FROM flagged", *REVIEW
+        ),
+        "country_levels": """
+SELECT r_name AS operatingunit, CASE WHEN n_nationkey < 20 THEN 'id' || n_nationkey END AS operatingunituid,
+       n_name AS countryname, CAST(n_nationkey % 3 + 4 AS INTEGER) AS site_lvl
+FROM nation JOIN region ON n_regionkey = r_regionkey""",
+        "unit_hierarchy": "SELECT CAST(c_nationkey AS INTEGER) AS uid, c_custkey AS site FROM customer WHERE c_nationkey % 2 = 0",
+        "lag1_periods": q(
             f"""
-SELECT orgunituid, mech_code, indicator, {wide('value')}
-FROM (SELECT orgunituid, mech_code, period, unnest(['tx_curr', 'tx_net_new', 'tx_net_new_adj']) AS indicator,
-             unnest([tx_curr, tx_net_new, tx_net_new_adj]) AS value FROM nn) GROUP BY ALL""",
+SELECT {PAIR}, CASE WHEN vlc_valid THEN one_period END AS tx_curr_lag1_site
+FROM nn JOIN (SELECT orgunituid, period_idx, lag(site_total) OVER (PARTITION BY orgunituid ORDER BY period_idx) AS one_period
+              FROM (SELECT DISTINCT orgunituid, period_idx, site_total FROM totals)) USING (orgunituid, period_idx)""",
             *NETCHANGE,
         ),
+        "lag3_rows": q(
+            f"""
+SELECT {PAIR}, CASE WHEN vlc_valid THEN three_back END AS tx_curr_lag3_site
+FROM (SELECT *, lag(site_total, 3) OVER (PARTITION BY orgunituid ORDER BY period_idx, mech_code) AS three_back FROM totals)
+WHERE mech_code IS NOT NULL""",
+            *NETCHANGE,
+        ),
+        **{
+            f"ratio_valid_lag{n}": q(
+                f"""
+SELECT {PAIR.replace("period", label() + " AS period")},
+       CASE WHEN flag_multimech_site OR coalesce(before_multi, FALSE) THEN FALSE ELSE before IS NOT NULL END AS vlc_valid
+FROM (SELECT *, lag(flag_multimech_site, {n}) OVER w AS before_multi, lag(value, {n}) OVER w AS before
+      FROM sgrid WINDOW w AS (PARTITION BY orgunituid ORDER BY period_idx, mech_code)) WHERE mech_code IS NOT NULL""",
+                *BASE,
+            )
+            for n in (1, 3)
+        },
+        "multi_site_share_without_owner": q(
+            """
+SELECT period, flag_multimech_site, n, round(n / total, 6) AS share
+FROM (SELECT *, sum(n) OVER (PARTITION BY period) AS total FROM (
+        SELECT period, flag_multimech_site, count(DISTINCT orgunituid) AS n
+        FROM review WHERE mech_code <> '5' GROUP BY ALL)) WHERE flag_multimech_site""",
+            *REVIEW,
+        ),
+        "ratio_aggregate_stacked": q("SELECT * EXCLUDE (period_idx) FROM msd", *AGGREGATE),
     }

@@ -24,7 +24,7 @@ def flagged_stage(
 
 
 def net_change_stage(
-    panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, lag_mode: str = "rows"
+    panel: DataFrame, spec: PanelSpec = DEFAULT_SPEC, lag_mode: str = "rows", lag: int = 2
 ) -> DataFrame:
     """Net change on a narrow panel.
 
@@ -32,7 +32,7 @@ def net_change_stage(
     at the end instead of going through every shuffle.
     """
     flags = stage(flags_stage(panel, spec), "flags")
-    return net_change_panel(flags, spec, lag_mode, stage)
+    return net_change_panel(flags, spec, lag_mode, stage, lag)
 
 
 def final_stage(

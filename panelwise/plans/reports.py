@@ -35,7 +35,6 @@ from panelwise.operators.groups import (
 )
 from panelwise.operators.joins import join_nullsafe
 from panelwise.operators.shape import to_long, to_wide
-from panelwise.sources.stages import stage
 from panelwise.spec import (
     ADJUSTED,
     AGENCY_NAMES,
@@ -47,6 +46,12 @@ from panelwise.spec import (
 )
 
 S = DEFAULT_SPEC
+NOISE = 6  # decimals beyond which a difference of doubles is noise
+
+
+def as_is(df: DataFrame, name: str) -> DataFrame:
+    """In the place of ``stage``: the plan goes on."""
+    return df
 
 
 def after_first_period(
@@ -129,26 +134,29 @@ def country_pairs(df: DataFrame, country: str | None = None, spec: PanelSpec = S
 
 def lone_obs_wide(
     df: DataFrame,
-    periods: list[str],
+    periods: list[str] | None = None,
     pseudo_owners: tuple[str, ...] = PSEUDO_OWNERS,
     spec: PanelSpec = S,
+    stage=as_is,
 ) -> DataFrame:
     """Lone observations per owner, one column per period, largest owner first."""
     rows = df.where(F.col("flag_loneobs") & ~F.col(spec.owner).isin(*pseudo_owners))
-    counts = stage(count_distinct_by(rows, [spec.owner, spec.period], [spec.site]), "lone_counts")
+    counts = stage(count_distinct_by(rows, [spec.owner, spec.index, spec.period], [spec.site]), "lone_counts")
     top = counts.groupBy(spec.owner).agg(F.max("n").alias("max"))
-    wide = to_wide(counts, [spec.owner], spec.period, "n", periods)
+    wide = to_wide(counts, [spec.owner], spec.period, "n", periods, order=spec.index)
     return wide.join(top, spec.owner).orderBy(F.desc("max"), spec.owner)
 
 
 # -- sites with several owners ------------------------------------------------
 
 
-def multi_owner_histogram(panel: DataFrame, sizes: list[int], spec: PanelSpec = S) -> DataFrame:
-    """Sites by number of owners, per period and unit, one column per number."""
+def multi_owner_histogram(
+    panel: DataFrame, sizes: list[int] | None = None, spec: PanelSpec = S, stage=as_is
+) -> DataFrame:
+    """Sites by number of owners, per period and unit, one column per number that occurs."""
     keys = [spec.index, spec.period, spec.unit]
     owners = count_distinct_by(panel, [*keys, spec.site], [spec.owner], "owners")
-    sites = count_by(owners, [*keys, "owners"], name="sites")
+    sites = stage(count_by(owners, [*keys, "owners"], name="sites"), "owner_counts")
     return to_wide(sites, keys, "owners", "sites", sizes, prefix="owners_")
 
 
@@ -162,10 +170,12 @@ def multi_share(panel: DataFrame, keys: list[str], spec: PanelSpec = S) -> DataF
     return sizes.withColumn("share_multi", ratio("multi", F.col("single") + F.col("multi")))
 
 
-def multi_share_wide(panel: DataFrame, periods: list[str], spec: PanelSpec = S) -> DataFrame:
+def multi_share_wide(
+    panel: DataFrame, periods: list[str] | None = None, spec: PanelSpec = S, stage=as_is
+) -> DataFrame:
     """Share of sites with several owners, units by periods."""
-    long = multi_share(panel, [spec.unit, spec.period], spec)
-    return to_wide(long, [spec.unit], spec.period, "share_multi", periods)
+    long = stage(multi_share(panel, [spec.unit, spec.index, spec.period], spec), "unit_shares")
+    return to_wide(long, [spec.unit], spec.period, "share_multi", periods, order=spec.index)
 
 
 def multi_share_labels(
@@ -191,7 +201,9 @@ def rows_of_unit(rows: DataFrame, unit: str, spec: PanelSpec = S) -> DataFrame:
     return rows.where(F.col(spec.unit) == unit).orderBy(spec.site, spec.index, spec.owner)
 
 
-def multi_counts_ranked(panel: DataFrame, regional: str = "Region", spec: PanelSpec = S) -> DataFrame:
+def multi_counts_ranked(
+    panel: DataFrame, regional: str = "Region", spec: PanelSpec = S, stage=as_is
+) -> DataFrame:
     """Sites with one and several rows per country and period, for countries with
     more than one such case, with the country's rank by their total."""
     country = country_name(F.col(spec.unit), F.col("snu1"), regional)
@@ -231,7 +243,7 @@ def units_by_latest_stock(
 ) -> DataFrame:
     """Units by stock in the latest period, largest first."""
     latest = filter_extreme(df, spec.index)
-    total = count_by(latest, [spec.unit], wt=spec.value, scale=spec.scale)
+    total = count_by(latest, [spec.unit], wt=spec.value)
     return total.withColumn(spec.unit, recode(spec.unit, names)).orderBy(F.desc("n"), spec.unit)
 
 
@@ -263,7 +275,7 @@ def site_type_shares(df: DataFrame, spec: PanelSpec = S) -> DataFrame:
     sums = (
         df.withColumn("site_type", site_type)
         .groupBy(*keys, "site_type")
-        .agg(sum0(spec.value, spec.scale).alias("tx_curr"), F.count(F.lit(1)).alias("site_count"))
+        .agg(sum0(spec.value).alias("tx_curr"), F.count(F.lit(1)).alias("site_count"))
     )
     shares = add_share(sums, "tx_curr", keys, "share_result")
     return add_share(shares, "site_count", keys, "share_sites")
@@ -296,7 +308,7 @@ MEASURES = ["tx_curr", "tx_net_new", "tx_net_new_adj_plus"]
 
 
 def net_change_by_owner(
-    nn: DataFrame, excluded_owners: tuple[str, ...] = (), spec: PanelSpec = S
+    nn: DataFrame, excluded_owners: tuple[str, ...] = (), spec: PanelSpec = S, stage=as_is
 ) -> DataFrame:
     """Stock and both net changes per unit, group, owner, partner and period.
 
@@ -307,7 +319,7 @@ def net_change_by_owner(
     rows = nn.where(~F.col(spec.owner).isin(*excluded_owners)) if excluded_owners else nn
     keys = [spec.unit, spec.group, spec.owner, "primepartner", spec.index, spec.period]
     named = rows.withColumn(spec.group, recode(spec.group, AGENCY_NAMES))
-    sums = stage(sum0_by(named, keys, MEASURES, spec.scale), "owner_sums")
+    sums = stage(sum0_by(named, keys, MEASURES), "owner_sums")
     last = sums.groupBy(spec.owner).agg(F.max(spec.index).alias("_last"))
     first = period_bound(sums, "min", spec)
     out = join_nullsafe(sums, last.where(F.col("_last") != first), [spec.owner], "inner").select(
@@ -333,14 +345,14 @@ def net_change_delta_long(
     )
     both = MEASURES[1:]
     totals = rows.groupBy(*keys).agg(
-        *[sum0(c, spec.scale).alias(c) for c in both], F.max("order").alias("order")
+        *[sum0(c).alias(c) for c in both], F.max("order").alias("order")
     )
-    delta = F.round(F.col("tx_net_new_adj_plus") - F.col("tx_net_new"), spec.scale)
+    delta = F.round(F.col("tx_net_new_adj_plus") - F.col("tx_net_new"), NOISE)
     return to_long(totals.withColumn("delta", delta), [*keys, "order", "delta"], both)
 
 
 def net_change_labels(
-    long: DataFrame, excluded_owners: tuple[str, ...] = PSEUDO_OWNERS, spec: PanelSpec = S
+    long: DataFrame, excluded_owners: tuple[str, ...] = PSEUDO_OWNERS, spec: PanelSpec = S, stage=as_is
 ) -> DataFrame:
     """Labels and display order for the two measures; ``match`` where they agree."""
     rows = stage(long.where(~F.col(spec.owner).isin(*excluded_owners)), "owner_deltas")
@@ -357,10 +369,10 @@ def net_change_labels(
 
 
 def site_history_wide(
-    nn: DataFrame, periods: list[str], site: object | None = None, spec: PanelSpec = S
+    nn: DataFrame, periods: list[str] | None = None, site: object | None = None, spec: PanelSpec = S
 ) -> DataFrame:
     """Stock and both net changes of a site's owners, one column per period."""
     measures = ["tx_curr", "tx_net_new", "tx_net_new_adj"]
     rows = nn if site is None else nn.where(F.col(spec.site) == site)
-    long = to_long(rows, [spec.site, spec.owner, spec.period], measures)
-    return to_wide(long, [spec.site, spec.owner, "indicator"], spec.period, "value", periods)
+    long = to_long(rows, [spec.site, spec.owner, spec.index, spec.period], measures)
+    return to_wide(long, [spec.site, spec.owner, "indicator"], spec.period, "value", periods, order=spec.index)

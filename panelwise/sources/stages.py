@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+import tempfile
+import warnings
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folder: list[str] = []
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder for staged tables, below the one the session names.
+
+    ``spark.checkpoint.dir`` names a folder that the driver and all executors share.
+    A local session may do without: it gets a temporary folder, and a warning.
+    Elsewhere a folder is required, since executors do not see each other's disks.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("staged tables need a shared folder: set spark.checkpoint.dir")
+        if not _local_folder:
+            _local_folder.append(tempfile.mkdtemp(prefix="panelwise-"))
+            warnings.warn(f"spark.checkpoint.dir is not set, staging in {_local_folder[0]}", stacklevel=3)
+        folder = _local_folder[0]
+    return f"{folder.rstrip('/')}/panelwise-{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and go on from the written copy.
+    """Write a table to the run's folder and go on from the written copy.
 
     Cuts the lineage: a lost executor costs a re-read, and a table that is used
-    twice is computed once.  Without a shared folder the plan simply goes on.
+    twice is computed once.  The copies stay until ``clear_stages``.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/panelwise/{name}-{uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove all staged tables of this application; call it once their results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

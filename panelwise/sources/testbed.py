@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.columns import exact_sum, sum0
 from panelwise.functions.periods import fiscal_index
+from panelwise.operators.ratio import wide_fiscal_table
+from panelwise.spec import DENOMINATOR_ROWS, STOCK_ROWS
 
 DEDUP = "Dedup"
 
@@ -168,10 +170,6 @@ def ratio_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The quarters of the order dates, FY95Q2 to FY01Q4, as labels.
-PERIODS = [f"FY{y % 100:02d}Q{q}" for y in range(1995, 2002) for q in (1, 2, 3, 4)][1:]
-
-
 def with_names(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     """Add the organisation path and the owner's name and partner."""
     return rows.join(org_dim(spark, sf_dir), "orgunituid", "left").join(
@@ -249,21 +247,23 @@ def raw_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fiscal_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock and denominator sums by unit, group, owner and partner, quarters as columns."""
-    stock = orders_panel(spark, sf_dir).withColumns(
+def fiscal_wide(spark: SparkSession, sf_dir: str, stock: DataFrame | None = None, ratio: DataFrame | None = None) -> DataFrame:
+    """Stock and denominator sums by unit, group, owner and partner, quarters as columns.
+
+    ``stock`` and ``ratio`` are the two panels, if the caller has them at hand.
+    """
+    stock = orders_panel(spark, sf_dir) if stock is None else stock
+    ratio = ratio_panel(spark, sf_dir) if ratio is None else ratio
+    stock = stock.withColumns(
         {
-            "indicator": F.lit("TX_CURR"),
+            "indicator": F.lit(STOCK_ROWS[0]),
             "numeratordenom": F.lit("N"),
-            "standardizeddisaggregate": F.lit("Total Numerator"),
+            "standardizeddisaggregate": F.lit(STOCK_ROWS[1]),
         }
     )
-    den = (
-        ratio_panel(spark, sf_dir)
-        .where(F.col("numeratordenom") == "D")
-        .withColumn("standardizeddisaggregate", F.lit("Total Denominator"))
+    den = ratio.where(F.col("numeratordenom") == "D").withColumn(
+        "standardizeddisaggregate", F.lit(DENOMINATOR_ROWS[1])
     )
-    rows = with_names(spark, sf_dir, stock.unionByName(den))
     quarter = (F.col("period_idx") - 1) % 4 + 1
     keys = [
         "fiscal_year",
@@ -275,10 +275,7 @@ def fiscal_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         "standardizeddisaggregate",
         "numeratordenom",
     ]
-    by_quarter = {
-        f"qtr{q}": F.when(quarter == q, F.col("value")) for q in (1, 2, 3, 4)
-    }
-    dated = rows.withColumns(
-        {"fiscal_year": ((F.col("period_idx") - quarter) / 4).cast("int"), **by_quarter}
+    rows = with_names(spark, sf_dir, stock.unionByName(den)).withColumns(
+        {"fiscal_year": ((F.col("period_idx") - quarter) / 4).cast("int"), "quarter": quarter.cast("string")}
     )
-    return dated.groupBy(*keys).agg(*[exact_sum(c).alias(c) for c in by_quarter])
+    return wide_fiscal_table(rows.groupBy(*keys, "quarter").agg(exact_sum("value").alias("value")))

@@ -10,9 +10,7 @@ class PanelSpec:
     """Column names of a panel.
 
     ``index`` orders the periods (``fiscal year * 4 + quarter``); ``period`` is
-    the display label derived from it.  ``scale`` is the number of decimals the
-    stock is exact to: sums run in DECIMAL at that scale, so they do not depend
-    on the order in which partial results arrive.
+    the display label derived from it.
     """
 
     site: str = "orgunituid"
@@ -25,7 +23,6 @@ class PanelSpec:
     stock: str = "tx_curr"
     org: tuple[str, ...] = ("operatingunit", "countryname", "snu1", "psnu", "facility")
     owner_attrs: tuple[str, ...] = ("mech_name", "primepartner")
-    scale: int = 2
 
     @property
     def key(self) -> list[str]:
@@ -50,6 +47,10 @@ STANDARD = "standard"
 ADJUSTED = "adjusted"
 NO_STOCK = "no TX_CURR reported"
 
+# How the wide fiscal table names stock and denominator.
+STOCK_ROWS = ("TX_CURR", "Total Numerator")
+DENOMINATOR_ROWS = ("TX_PVLS", "Total Denominator")
+
 # Pseudo owners that hold de-duplication corrections, and their agency.
 PSEUDO_OWNERS = ("00000", "00001")
 DEDUP_AGENCY = "Dedupe adjustments Agency"

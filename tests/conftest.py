@@ -11,9 +11,7 @@ from compare import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    conf = {"spark.sql.shuffle.partitions": "4"}
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("stages"))}
     s = session(**conf)
-    if s.conf.get("spark.checkpoint.dir", None) is None:
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stages")))
     yield s
     s.stop()

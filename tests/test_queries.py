@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from compare import check, connect
 from pyspark.sql import functions as F
@@ -28,6 +33,21 @@ def test_query_agrees_with_sql(spark, con, name):
     assert check(spark, con, name, SMALL) is None
 
 
+def test_no_query_falls_back_from_compiled_code():
+    """A stage whose generated code does not compile only logs it and runs slowly."""
+    script = (
+        "from compare import session; import __spark_entry__ as e\n"
+        "spark = session(4)\n"
+        "for n in ('ratio_compare', 'ratio_aggregate', 'multi_owner_sites', 'net_change_by_owner'):\n"
+        f"    e.queries()[n](spark, '{SMALL}').write.format('noop').mode('overwrite').save()\n"
+    )
+    root = Path(__file__).resolve().parents[1]
+    env = os.environ | {"PYTHONPATH": f"{root}:{root / 'tests'}"}
+    run = subprocess.run([sys.executable, "-c", script], env=env, cwd=root, capture_output=True, text=True, timeout=600)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert "Failed to compile" not in run.stderr + run.stdout
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 2759
 
