@@ -2,46 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
+from panelwise.sources.stages import clear_stages, run_folder, stage
 
-    A session that names none (a local test) gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="llm-stages-"))
-        folder = _own_folder[0]
-    return f"{folder.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+__all__ = ["clear_stages", "fresh", "hash60", "longs", "quoted", "read_table", "run_folder", "stage", "without", "word_count"]
 
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and go on from the written copy.
-
-    The copy cuts the lineage: an executor that is lost costs a re-read.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_stages(spark: SparkSession) -> None:
-    """Remove what this application's operators have staged; call it after the last result is written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: A word is a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -31,13 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwise.llm.base import quoted, shared_folder, stage
+from panelwise.llm.base import quoted, run_folder, stage
 
-MAGIC, BLOCK, FILE_IDS = b"TOKBITS1", 4096, 1 << 22
-CACHED_PIECES, SLICE = 400_000, 1 << 21
+MAGIC, BLOCK, FILE_IDS = b"TOKBITS1", 4096, 1 << 21
+CACHED_PIECES, SLICE = 200_000, 1 << 20
 SUFFIX = ".tokbits"
-# A space that ends a run of white space: a pre-token always begins there.
-_PIECE, _RUN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" (?!\S)")
+TOGETHER = 4096  # new pieces that are encoded in one text
+# A space between words, and white space that is more than one space or newline between words.
+_PIECE, _ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -108,28 +109,58 @@ class TokenFile:
 class Encoder:
     """Encodes whole texts; pieces between two pre-tokens are encoded once.
 
-    The tokenizer splits a text into pre-tokens and encodes each alone, and a space
-    before a word always begins one.  So a text's ids are those of its pieces, cut at
-    such spaces, and a piece seen before need not be encoded again.
+    The tokenizer splits a text into pre-tokens and encodes each alone.  A space before
+    a word always begins one, and a newline between two words is one.  So a text's ids
+    are those of its pieces, cut there, and a piece seen before need not be encoded
+    again.  New pieces are encoded many in a text, a newline between them, which is why
+    the newline must be one id of its own.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ids = self._ids("\n")
+        self.newline = int(ids[0]) if len(ids) == 1 and len(self._ids("a\n b\nc")) == len(self._ids("a b")) + 3 else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def pieces(self, text: str) -> list[str]:
-        parts = _PIECE.split(text) if _RUN.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        if _ODD.search(text):
+            parts = _PIECE.split(text)
+            return [parts[0], *[" " + p for p in parts[1:]]]
+        out: list[str] = []
+        for line in text.split("\n"):
+            parts = line.split(" ")
+            out += ("\n", parts[0]) if out else (parts[0],)
+            out += [" " + p for p in parts[1:]]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        # One word, with one space before it or none.
+        plain = [p for p in new if p.split() == [p.removeprefix(" ")]] if self.newline is not None else []
+        for i in range(0, len(plain), TOGETHER):
+            some = plain[i : i + TOGETHER]
+            ids = self._ids("\n".join(some))
+            ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(some, ends, strict=True):
+                self.known[piece] = raw[4 * start : 4 * end]
+                start = end + 1
+        for piece in set(new).difference(plain):
+            self.known[piece] = self._ids(piece).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        new = list({p for c in cut for p in c} - self.known.keys())
-        for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(coded.ids, np.uint32).tobytes()
+        if len(self.known) > CACHED_PIECES:  # what is used again is taken over from the older half
+            self.known, self.older = {}, self.known
+        new = set().union(*cut).difference(self.known)
+        again = new.intersection(self.older)
+        self.known |= {p: self.older[p] for p in again}
+        self._learn(list(new.difference(again)))
         known = self.known
         return [np.frombuffer(b"".join([known[p] for p in c]), np.uint32) for c in cut]
 
@@ -242,4 +273,4 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
 
 def new_folder(spark: SparkSession) -> str:
     """A folder for token files that driver and executors share."""
-    return f"{shared_folder(spark)}/tokens-{uuid4().hex}"
+    return f"{run_folder(spark)}/tokens-{uuid4().hex}"

@@ -38,6 +38,8 @@ def test_pieces_encode_like_the_whole():
     draw, whole, encoder = random.Random(7), Tokenizer.from_file(PATH), Encoder(PATH)
     parts = [" ", "  ", "\n", "\t", " ", "a", "Word", "don't", "12", "!?", "é", "\U0001f600", "<|endoftext|>", " ", "x\x0by", "\x1c", "\u0085"]
     texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(20_000)]
+    words = ["a", "Word", "don't", "'s", "12", "!?", "é", "<|endoftext|>", "x\u00a0y", "\U0001f600"]
+    texts += ["".join(draw.choice(words) + draw.choice([" ", "\n", " ", "\n", "  ", ""]) for _ in range(draw.randint(0, 9))) + "z" for _ in range(20_000)]
     want = whole.encode_batch(texts, add_special_tokens=False)
     assert [x.tolist() for x in encoder.encode(texts)] == [w.ids for w in want]
 
