@@ -25,6 +25,7 @@ from panelwise.llm.base import fresh, quoted, stage, without, word_count
 
 OUT = ("size", "source_size", "target", "draws")
 BUCKET_HEX = 3  # 16 ** 3 buckets of each source's random order
+PIECE_BITS = 6  # a shard is dealt out in 64 pieces
 STRIDE = 2147483647  # a prime above any number of blocks: multiples of it permute them
 
 
@@ -161,13 +162,16 @@ def mix_documents(
     )
 
 
-def mixed_rows(mixed: DataFrame, shards: int = 64) -> DataFrame:
+def mixed_rows(mixed: DataFrame) -> DataFrame:
     """The mix itself: a row per draw, dealt out to its shard and shuffled within it.
 
     Adds ``epoch``, ``shard`` and ``place``; takes the result of ``mix_documents``.
+    Places are random; a shard is dealt out in 64 ranges of them, so that the rows
+    of one shard need not fit into one task, and each range is sorted.
     """
     kept = [c for c in without(mixed, "epoch", "shard", "place").columns if c not in OUT]
     (one,) = fresh(mixed, "draw")
     rows = mixed.select(*[quoted(c) for c in kept], F.explode("draws").alias(one))
     rows = rows.select(*[quoted(c) for c in kept], *[F.col(one)[c].alias(c) for c in ("epoch", "shard", "place")])
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    piece = F.shiftright("place", 64 - PIECE_BITS)
+    return rows.repartition("shard", piece).sortWithinPartitions("shard", "place")

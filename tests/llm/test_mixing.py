@@ -71,7 +71,7 @@ def test_draws(small):
 
 def test_rows_of_the_mix(small):
     mixed = mix_documents(small, shards=4)
-    rows = mixed_rows(mixed, 4)
+    rows = mixed_rows(mixed)
     assert rows.count() == sum(len(r.draws) for r in mixed.select("draws").collect())
     assert rows.columns == [*small.columns, "epoch", "shard", "place"]
 
