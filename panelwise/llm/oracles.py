@@ -133,5 +133,73 @@ FROM scored QUALIFY rank <= 10
 """
 
 
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms,
+    row_number() OVER () AS nth
+  FROM documents
+), occurring AS (SELECT DISTINCT lang, source FROM d
+), words AS (SELECT nth, lang, source, unnest(terms) AS term FROM d
+), kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT nth) >= 10
+), size AS (SELECT lang, (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS v FROM (SELECT DISTINCT lang FROM occurring) g
+), counted AS (
+  SELECT o.lang, o.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM occurring o JOIN kept k USING (lang)
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL) c ON c.lang = o.lang AND c.source = o.source AND c.term = k.term
+), own AS (
+  SELECT *, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + 2 * v) AS p FROM counted JOIN size USING (lang)
+), whole AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang)::HUGEINT + 2 * v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM counted GROUP BY ALL) JOIN size USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) FROM own x JOIN own y USING (lang, term)
+      WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM occurring a JOIN occurring b ON a.lang = b.lang AND a.source <> b.source
+), best AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+  FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM best)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _op12(k: int = 8, rounds: int = 10) -> str:
+    floor = "(s - ((s % n) + n) % n) // n"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT row, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (
+    SELECT v.row, m.c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM cells v JOIN mid{r} m USING (i) GROUP BY v.row, m.c) GROUP BY row
+)""")
+        if r < rounds:
+            steps.append(f"""
+mid{r + 1} AS MATERIALIZED (
+  SELECT m.c, m.i, coalesce(g.x, m.x) AS x FROM mid{r} m LEFT JOIN (
+    SELECT cluster AS c, i, ({floor})::BIGINT AS x FROM (
+      SELECT cluster, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM cells JOIN near{r} USING (row) GROUP BY cluster, i)) g USING (c, i)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, embedding, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, embedding) AS row FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), cells AS MATERIALIZED (
+  SELECT row, unnest(range(64)) AS i, unnest(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS x FROM kept
+), mid0 AS MATERIALIZED (SELECT row - 1 AS c, i, x FROM cells WHERE row <= {k}
+), {",".join(steps)}, sums AS (
+  SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM near{rounds} GROUP BY cluster
+), digests AS (
+  SELECT c AS cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM mid{rounds} GROUP BY c
+)
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance, cluster_inertia,
+  (SELECT sum(cluster_inertia) FROM sums)::BIGINT AS inertia, centroid_sha256
+FROM kept JOIN near{rounds} USING (row) JOIN sums USING (cluster) JOIN digests USING (cluster)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op3_sharding": _op3(), "op5_chat": OP5, "op7_top_k": OP7, "op8_decontamination": OP8}
+    return {"op12_centroids": _op12(), "op13_divergence": OP13, "op1_mixing": OP1, "op3_sharding": _op3(), "op5_chat": OP5, "op7_top_k": OP7, "op8_decontamination": OP8}

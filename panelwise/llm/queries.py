@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from panelwise.llm.base import read_table
 from panelwise.llm.chat import format_conversations, parse_conversations
+from panelwise.llm.centroids import cluster_vectors
 from panelwise.llm.decontam import contained_items
+from panelwise.llm.divergence import audit_sources
 from panelwise.llm.langid import identify_language, train_profiles
 from panelwise.llm.mixing import mix_documents
 from panelwise.llm.pii import pseudonymise
@@ -101,5 +103,30 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("pseudonymised").alias("text"), F.size("pii").alias("n_found"), F.array_join(kinds, ",").alias("kinds"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return cluster_vectors(vectors, k=8, rounds=10, dims=64, scale=1024, seed="3:").drop("embedding")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(read_table(spark, sf_dir, "documents"), min_docs=10, best=10)
+
+
+REGISTERED = (
+    op1_mixing,
+    op2_language,
+    op3_sharding,
+    op4_simhash,
+    op5_chat,
+    op6_tokens,
+    op7_top_k,
+    op8_decontamination,
+    op9_toxicity,
+    op10_pii,
+    op12_centroids,
+    op13_divergence,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_language, op3_sharding, op4_simhash, op5_chat, op6_tokens, op7_top_k, op8_decontamination, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in REGISTERED}
