@@ -13,6 +13,7 @@ from panelwise.llm.centroids import cluster_vectors
 from panelwise.llm.decontam import contained_items
 from panelwise.llm.divergence import audit_sources
 from panelwise.llm.langid import identify_language, train_profiles
+from panelwise.llm.minhash import minhash_groups
 from panelwise.llm.mixing import mix_documents
 from panelwise.llm.pii import pseudonymise
 from panelwise.llm.sharding import shard_documents
@@ -103,6 +104,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("pseudonymised").alias("text"), F.size("pii").alias("n_found"), F.array_join(kinds, ",").alias("kinds"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(read_table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85, keep=["doc_id"])
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return cluster_vectors(vectors, k=8, rounds=10, dims=64, scale=1024, seed="3:").drop("embedding")
@@ -123,6 +128,7 @@ REGISTERED = (
     op8_decontamination,
     op9_toxicity,
     op10_pii,
+    op11_minhash,
     op12_centroids,
     op13_divergence,
 )
