@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from panelwise.llm.base import quoted, stage
 
 STRIPE_CELLS = 250_000  # counts that a task's stripes hold before they go to the shuffle
-PIECE_TERMS = 16_384  # about as many terms of a language meet its totals in one group
+PIECE_TERMS = 2_048  # about as many terms of a language meet its totals in one group
 BLOCK = 256  # sources that a group answers for
 SLICE = 1 << 22  # bytes of a text that are split into terms at once
 ONE = 1_000_000_000

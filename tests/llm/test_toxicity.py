@@ -1,9 +1,15 @@
 import random
+import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from panelwise.llm.toxicity import Windows, fit, score_toxicity
+from panelwise.llm import toxicity
+from panelwise.llm.queries import op9_toxicity
+from panelwise.llm.toxicity import Windows, fit, score_toxicity, training_texts, windows_of
+
+SMALL = "/root/testdata/sf0.001"
 
 MARKED = ["grobnax", "vilthor", "skarmuck", "pladwort"]
 
@@ -36,15 +42,50 @@ def test_held_out_accuracy(tables):
     assert right / sum(counts.values()) > 0.97 and counts.get((1, 1), 0) > 20
 
 
-def test_skipped_windows_compress_alike(tables):
-    """A word that shares no five bytes with the toxic dictionary gains nothing worth a threshold from it."""
+def plain_score(model, text: str | None) -> float:
+    """Every word of the text compressed with both dictionaries, one by one."""
+    params = zstandard.ZstdCompressionParameters.from_level(
+        model.level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0
+    )
+    frame = b"@@##~~%%" * 2
+    raw = zstandard.DICT_TYPE_RAWCONTENT
+    ordinary, both = (
+        zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d + frame, dict_type=raw), compression_params=params)
+        for d in (model.ordinary, model.ordinary + model.toxic)
+    )
+    words = (text or "").lower().encode().split()
+    windows = [frame + b" " + w[i : i + 192] + b" " + frame for w in words for i in range(0, len(w), 192)]
+    hits = sum(len(ordinary.compress(w)) - len(both.compress(w)) >= model.saved for w in windows)
+    return max(hits / len(windows) / (hits / len(windows) + model.share), 0.01) if hits else 0.01
+
+
+def test_query_against_plain_scores(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit(*training_texts(docs, labels))
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in op9_toxicity(spark, SMALL).collect()}
+    assert set(got) == {r.doc_id for r in docs.select("doc_id").collect()}
+    for r in docs.collect():
+        score = plain_score(model, r.text)
+        assert got[r.doc_id] == (pytest.approx(score, abs=1e-12), int(score >= 0.5), zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_every_window_is_compressed(monkeypatch):
+    """A text's windows all go through both dictionaries, also where they share no byte with the toxic one."""
     rows = corpus(300)
     model = fit([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
-    windows = Windows(model)
-    words = {f" {w} ".encode() for _, t, _ in rows for w in t.split()}
-    skipped = [w for w in words if not windows.shares_gram(w)]
-    saved = [len(windows.packers[0].compress(b"@@##~~%%" * 2 + w + b"@@##~~%%" * 2)) - len(windows.packers[1].compress(b"@@##~~%%" * 2 + w + b"@@##~~%%" * 2)) for w in skipped]
-    assert skipped and max(saved) < model.saved
+    scan, asked = Windows(model), []
+    distance = scan.distance
+    monkeypatch.setattr(scan, "distance", lambda w: asked.append(w) or distance(w))
+    for _, t, _ in rows:
+        scan.count(t.lower().encode(), [1])
+    assert sorted(asked) == sorted({w.encode() for _, t, _ in rows for w in t.lower().split()})
+
+
+def test_long_texts_are_cut_between_windows(monkeypatch):
+    text = (b"one two " * 3000 + b"x" * 1000 + b" y")
+    whole = [w for part in windows_of(text) for w in part]
+    monkeypatch.setattr(toxicity, "SLICE", 100)
+    assert [w for part in windows_of(text) for w in part] == whole and len(whole) == 6007
 
 
 def test_odd_documents(tables, odd, none, spark):
