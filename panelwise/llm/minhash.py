@@ -17,8 +17,8 @@ most large buckets, and each class is verified with its centers alone.  Classes
 with a center c are in its group, and links among them change nothing.  For a link of x,
 which is not linked with c, and any y, count the shingles they share within c and outside
 it.  The former are at most i = min(|x and c|, |y and c|).  If the link needs more than i, x
-and y share a shingle outside c, in fact need - i of them, and meet in a bucket of one of
-the first of these by hash, as many as leave fewer than that over (prefix filter).  If it needs
+and y share shingles outside c, need - i of them or more, and meet in a bucket of one of
+their rarest: of so many that fewer than that are left over (prefix filter).  If it needs
 no more than i, then y is smaller than c (else x would be linked with c), and both meet in
 the bucket of what is small and near to c.  These buckets lack c, so they are smaller; they
 are treated in the same way until none is left.  No pair of classes is passed over.
@@ -32,14 +32,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm.base import fresh, quoted, stage, without
 from panelwise.llm.simhash import components
 
 OUT = ("n_shingles", "component_id", "kept")
-SEED, SMALL = 42, 32
+SEED = 42
+SMALL, LARGEST = 32, 1024  # classes of a bucket whose pairs are all verified, in the first round and at most
 EMPTY = np.uint64(2**64 - 1)
 GOLDEN = 0x9E3779B97F4A7C15
 CELLS = 1 << 21  # shingles that are sketched together
@@ -190,17 +191,22 @@ def _centered(large: DataFrame) -> DataFrame:
 def _next_buckets(measured: DataFrame, percent: int) -> DataFrame:
     """What is left to be looked at of groups (group, a: center, b: member, shared, outside, near)."""
     least = measured.groupBy("group", "a").agg(F.min("b_n").alias("least_n"))
-    measured = measured.join(least, ["group", "a"])
+    measured = measured.join(least, ["group", "a"]).withColumn("far", ~F.col("near"))
     # what a link to the smallest possible partner needs
     partner = F.greatest(F.col("least_n"), F.ceil(F.col("b_n") * percent / F.lit(100.0) - 1e-9))
     needed = _need(F.col("b_n"), partner, percent)
-    outer_needed = F.greatest(needed - F.col("shared"), F.lit(1).cast("long"))
-    firsts = F.slice("outside", F.lit(1), F.greatest(F.size("outside") - outer_needed + 1, F.lit(0).cast("long")).cast("int"))
-    far = ~F.col("near")
-    of = lambda shingle: (F.struct("group", shingle.alias("shingle")).alias("bucket"), F.col("b").alias("node"), F.col("b_n").alias("n"), far.alias("far"))
-    outer = measured.withColumn("one", F.explode(firsts)).select(*of(F.col("one")))
-    inner = measured.where((F.col("shared") >= needed) & (far | (F.col("b_n") < F.col("a_n")))).select(*of(F.lit(None).cast("long")))
-    return outer.unionByName(inner)
+    prefix = F.size("outside") - F.greatest(needed - F.col("shared"), F.lit(1).cast("long")) + 1
+    own = measured.where(prefix > 0).select("group", F.col("b").alias("node"), F.col("b_n").alias("n"), "far", prefix.alias("prefix"), F.explode("outside").alias("shingle"))
+    # Any order serves that is the same for all: first what no far class shares with another, then by rarity.
+    counts = own.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("often"), F.max("far").alias("open"))
+    useful = (F.col("often") > 1) & F.col("open")
+    ordered = own.join(counts, ["group", "shingle"]).withColumn("useful", useful)
+    place = F.row_number().over(Window.partitionBy("group", "node").orderBy("useful", "often", "shingle"))
+    firsts = ordered.withColumn("place", place).where(F.col("useful") & (F.col("place") <= F.col("prefix")))
+    of = lambda shingle: F.struct("group", shingle.alias("shingle")).alias("bucket")
+    outer = firsts.select(of(F.col("shingle")), "node", "n", "far")
+    inner = measured.where((F.col("shared") >= needed) & (F.col("far") | (F.col("b_n") < F.col("a_n"))))
+    return outer.unionByName(inner.select(of(F.lit(None).cast("long")), F.col("b").alias("node"), F.col("b_n").alias("n"), "far"))
 
 
 def class_links(entries: DataFrame, sets: DataFrame, percent: int, log: list[dict] | None = None) -> DataFrame:
@@ -208,21 +214,24 @@ def class_links(entries: DataFrame, sets: DataFrame, percent: int, log: list[dic
 
     ``entries`` (bucket (group, shingle), node, n, far) and ``sets`` (node, n, set) are
     staged tables.  Every group lacks the centers of the groups it came from, so the
-    rounds end.
+    rounds end; what counts as small doubles from round to round, up to ``LARGEST``.
     """
-    links = None
+    links, small = stage(entries.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "no-links"), SMALL
     while True:
         counted = stage(_with_counts(entries), "buckets")
-        pairs = stage(_small_pairs(counted.where(F.col("count") <= SMALL), percent), "pairs")
+        if counted.isEmpty():
+            return links
+        pairs = stage(_small_pairs(counted.where(F.col("count") <= small), percent), "pairs")
         found = _shared(pairs, sets).where(_linked(percent)).select("a", "b")
-        centered = stage(_centered(counted.where(F.col("count") > SMALL)), "centers")
+        centered = stage(_centered(counted.where(F.col("count") > small)), "centers")
+        small = min(2 * small, max(SMALL, LARGEST))
         centers = centered.select(F.col("center").alias("node")).distinct()
         to_center = centered.where("center <> node").select("group", F.col("center").alias("a"), F.col("node").alias("b"))
         outside = F.sort_array(F.array_except("b_set", "a_set"))
         columns = ("group", "a", "b", "a_n", "b_n", "shared", _linked(percent).alias("near"), outside.alias("outside"))
         measured = stage(_shared(to_center, sets, centers).select(*columns), "measured")
         found = stage(found.unionByName(measured.where("near").select("a", "b")), "links")
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         if log is not None:
             log.append({"pairs": pairs.count(), "to_center": measured.count(), "links": found.count()})
         if measured.where(~F.col("near")).isEmpty():
