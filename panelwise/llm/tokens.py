@@ -19,9 +19,13 @@ order to number the ids: a row per partition.
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from types import ModuleType
 from uuid import uuid4
 
 import numpy as np
@@ -34,11 +38,13 @@ from pyspark.sql import functions as F
 from panelwise.llm.base import quoted, run_folder, stage
 
 MAGIC, BLOCK, FILE_IDS = b"TOKBITS1", 4096, 1 << 21
-CACHED_PIECES, SLICE = 200_000, 1 << 20
+CACHED_PIECES, SLICE = 300_000, 1 << 20
 SUFFIX = ".tokbits"
-TOGETHER = 4096  # new pieces that are encoded in one text
-# A space between words, and white space that is more than one space or newline between words.
-_PIECE, _ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|[^\S \n]|^\s|\s$")
+# Characters whose class every version of Unicode agrees on: ASCII text, Latin letters, common signs.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_DOUBTFUL = re.compile(f"[^ -~\n\r\t{_LETTERS}\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac]")
+# Fixed value: the pattern by which byte-level tokenizers split, over these characters.
+_PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -106,63 +112,80 @@ class TokenFile:
             start = end
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte, by its rule.
+
+    Visible characters of Latin-1 stand for themselves; the other bytes, in order, for the
+    characters from 256 on.
+    """
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Encodes whole texts; pieces between two pre-tokens are encoded once.
+    """Encodes whole texts; each distinct pre-token is encoded once.
 
-    The tokenizer splits a text into pre-tokens and encodes each alone.  A space before
-    a word always begins one, and a newline between two words is one.  So a text's ids
-    are those of its pieces, cut there, and a piece seen before need not be encoded
-    again.  New pieces are encoded many in a text, a newline between them, which is why
-    the newline must be one id of its own.
+    A byte-level tokenizer splits a text into pre-tokens by a pattern and encodes each
+    alone by its model.  Texts of characters whose class is beyond doubt are split here,
+    by the same pattern, and a pre-token that is new goes to the model; all other texts,
+    those that hold an added token, and all texts if the tokenizer is of another kind, go
+    to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ids = self._ids("\n")
-        self.newline = int(ids[0]) if len(ids) == 1 and len(self._ids("a\n b\nc")) == len(self._ids("a b")) + 3 else None
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.model = self.tokenizer.model
+        self.splits = (
+            parts["normalizer"] is None
+            and {k: split.get(k) for k in plain} == plain
+            and parts["model"]["type"] == "BPE"
+            and not parts["model"].get("dropout")
+        )
+        self.added = [t["content"] for t in parts["added_tokens"]]
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def pieces(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            parts = _PIECE.split(text)
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        out: list[str] = []
-        for line in text.split("\n"):
-            parts = line.split(" ")
-            out += ("\n", parts[0]) if out else (parts[0],)
-            out += [" " + p for p in parts[1:]]
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        # One word, with one space before it or none.
-        plain = [p for p in new if p.split() == [p.removeprefix(" ")]] if self.newline is not None else []
-        for i in range(0, len(plain), TOGETHER):
-            some = plain[i : i + TOGETHER]
-            ids = self._ids("\n".join(some))
-            ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(some, ends, strict=True):
-                self.known[piece] = raw[4 * start : 4 * end]
-                start = end + 1
-        for piece in set(new).difference(plain):
-            self.known[piece] = self._ids(piece).tobytes()
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32).tobytes()
+
+    def pre_tokens(self, text: str) -> list[str] | None:
+        """None if the text has to be encoded whole."""
+        if not self.splits or _DOUBTFUL.search(text) or any(a in text for a in self.added):
+            return None
+        return _PRE_TOKEN.findall(text)
+
+    def _learn(self, piece: str) -> bytes:
+        written = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
+        cut = [self.pre_tokens(t) for t in texts]
         if len(self.known) > CACHED_PIECES:  # what is used again is taken over from the older half
             self.known, self.older = {}, self.known
-        new = set().union(*cut).difference(self.known)
-        again = new.intersection(self.older)
-        self.known |= {p: self.older[p] for p in again}
-        self._learn(list(new.difference(again)))
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in c]), np.uint32) for c in cut]
+        known, older = self.known, self.older
+        for piece in set().union(*[c for c in cut if c]).difference(known):
+            known[piece] = older.get(piece) or self._learn(piece)
+        raw = (self.whole(t) if c is None else b"".join([known[p] for p in c]) for t, c in zip(texts, cut, strict=True))
+        return [np.frombuffer(r, np.uint32) for r in raw]
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python process for a tokenizer; what it knows serves later tasks too.
+
+    Functions of this package come to a worker by value, once for each task, so the
+    encoder is kept where tasks do not replace it.
+    """
+    kept = sys.modules.setdefault("panelwise_llm_encoders", ModuleType("panelwise_llm_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _slices(texts: list[str]) -> Iterator[list[str]]:
@@ -208,7 +231,7 @@ def write_tokens(
     rows = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer), TaskContext.get()
+        encoder, task = worker_encoder(tokenizer), TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
         store, root = fs.FileSystem.from_uri(folder)
         out, doc_ids, ids, held = [], [], [], 0

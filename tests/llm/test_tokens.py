@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from panelwise.llm.queries import op6_tokens
-from panelwise.llm.tokens import BLOCK, Encoder, TokenFile, new_folder, pack, read_tokens, to_file, unpack, vocabulary_bits, write_tokens
+from panelwise.llm.tokens import _DOUBTFUL, BLOCK, Encoder, TokenFile, new_folder, pack, read_tokens, to_file, unpack, vocabulary_bits, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SMALL = "/root/testdata/sf0.001"
@@ -34,14 +34,44 @@ def test_random_access(width):
         assert (file.ids(a, b) == flat[a:b]).all()
 
 
-def test_pieces_encode_like_the_whole():
+PARTS = {
+    "blank": [" ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u2003", "\x0b", "\x1c", "\u0085"],
+    "word": ["a", "Word", "naïve", "Ünïcode", "ſtraße", "ﬁ", "ß", "ж", "漢字", "ª", "ǅ", "א"],
+    "short": ["don't", "we'll", "I'd", "it's", "'S", "''s", "they've", "'re", "x's", "'", "’s"],
+    "number": ["12", "3.14", "²", "½", "٣", "0", "007", "Ⅷ"],
+    "sign": ["!?", "...", "–", "“q”", "…", "€", "\U0001f600", "e\u0301", "\u200d", "<", "<|endoftext|>", "<|endoftext", "¿", "«", "$%&*", "_", "\x00", "\x7f"],
+}
+
+
+@pytest.mark.parametrize("kinds", [tuple(PARTS), ("blank", "word"), ("short", "word", "sign"), ("number", "sign", "blank")])
+def test_pre_tokens_encode_like_the_whole(kinds):
     draw, whole, encoder = random.Random(7), Tokenizer.from_file(PATH), Encoder(PATH)
-    parts = [" ", "  ", "\n", "\t", " ", "a", "Word", "don't", "12", "!?", "é", "\U0001f600", "<|endoftext|>", " ", "x\x0by", "\x1c", "\u0085"]
-    texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(20_000)]
-    words = ["a", "Word", "don't", "'s", "12", "!?", "é", "<|endoftext|>", "x\u00a0y", "\U0001f600"]
-    texts += ["".join(draw.choice(words) + draw.choice([" ", "\n", " ", "\n", "  ", ""]) for _ in range(draw.randint(0, 9))) + "z" for _ in range(20_000)]
+    parts = [p for k in kinds for p in PARTS[k]]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(8_000)]
+    plain = [p for p in parts if not _DOUBTFUL.search(p)]
+    texts += ["".join(draw.choices(plain, k=draw.randint(0, 14))) for _ in range(8_000)]
+    texts += [" ".join(draw.choices(plain, k=draw.randint(0, 9))) + draw.choice(["", ".", " ", "\n"]) for _ in range(8_000)]
     want = whole.encode_batch(texts, add_special_tokens=False)
     assert [x.tolist() for x in encoder.encode(texts)] == [w.ids for w in want]
+    assert encoder.splits and sum(encoder.pre_tokens(t) is not None for t in texts) > 8_000
+
+
+def test_pre_tokens_are_those_of_the_library(small):
+    """Every split of the table's texts that is made here is the library's."""
+    whole, encoder = Tokenizer.from_file(PATH), Encoder(PATH)
+    letters = encoder.letters
+    for r in small.collect():
+        pieces = encoder.pre_tokens(r.text or "")
+        if pieces is not None:
+            assert [p.encode().decode("latin-1").translate(letters) for p in pieces] == [p for p, _ in whole.pre_tokenizer.pre_tokenize_str(r.text or "")]
+
+
+def test_other_tokenizers_encode_whole_texts(monkeypatch):
+    encoder = Encoder(PATH)
+    monkeypatch.setattr(encoder, "splits", False)
+    texts = ["Some text, it's plain.", "", " \n"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [w.ids for w in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert not encoder.known
 
 
 def expected(rows):
