@@ -5,13 +5,15 @@ item's distinct shingles.  A MinHash signature of fixed length says nothing abou
 short item inside a long document, so the signature is taken where the size is known,
 on the side of the item: of an item with n shingles, at most n - need may be missing,
 so the n - need + 1 shingles of smallest hash are a signature of which every document
-that contains the item has at least one.  Signature lengths thus grow with the item's
-size, and items are searched only in documents of a size class that can hold them.
-Candidates are then verified by counting the shared shingles themselves.
-
-Documents are scanned once.  A Bloom filter of the items' shingles (of a bounded size,
-whatever the benchmark) passes the few shingles worth shuffling; the rest is decided
-by joins on the shingle's text.
+that contains the item has at least one.  Items are partitioned by the logarithm of the
+size they need, and a document probes only the partitions whose items it can hold.
+
+Documents are scanned once.  Two Bloom filters of bounded size, whatever the benchmark,
+are probed by every shingle: one of the signatures, by partition, and one of all item
+shingles.  Only a document with a probable signature shingle hands anything on, namely
+its probable item shingles.  Signature shingles are then joined by partition and text,
+which gives the candidates, pairs of a document and an item; of these alone the shared
+shingles are counted, on the shingles' texts.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm.base import fresh, quoted, stage
 
 CHUNK = 1 << 21  # bytes of text that are hashed at once
-BLOOM_WORDS_MOST = 1 << 20  # 8 MB, the most that is ever broadcast
+BLOOM_WORDS_MOST = 1 << 20  # 8 MB, the most that a filter has
+SALTS = 16
 PRIME, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd: both have inverses modulo 2**64
 # ASCII letters and digits and all other characters beyond ASCII are parts of words.
 _IN_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
@@ -134,37 +137,75 @@ def _bits(hashes: np.ndarray, words: int) -> tuple[tuple[np.ndarray, np.ndarray]
     )
 
 
-def _shingle_rows(docs: DataFrame, words: int, bloom=None) -> DataFrame:
-    """Distinct shingles (key, size, shingle, hash) of rows (key, text) as the filter passes them."""
+def _distinct(rows: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the entries ``at``, the first of each row and hash."""
+    return at[np.sort(np.unique(np.stack([rows[at], hashes[at].view(np.int64)]), axis=1, return_index=True)[1])]
+
+
+def _by_class(hashes: np.ndarray, size_class: int) -> np.ndarray:
+    """Hashes of shingles as the signatures of one size class have them."""
+    return _mixed(hashes + np.uint64(PRIME * (size_class + 1) % 2**64))
+
+
+def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    found = np.ones(len(hashes), bool)
+    for word, bit in _bits(hashes, len(bits)):
+        found &= (bits[word] >> bit) & np.uint64(1) == 1
+    return found
+
+
+def _item_shingles(items: DataFrame, words: int) -> DataFrame:
+    """Distinct shingles (key, shingle, hash) of rows (key, text)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
+        for batch in batches:
+            for rows, hashes, starts, ends, data in hashed_shingles(batch.column("text"), words, powers):
+                at = _distinct(rows, hashes, np.arange(len(rows)))
+                texts = [_text(data, s, e) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                columns = [batch.column("key").take(pa.array(rows[at])), pa.array(texts, pa.string()), pa.array(hashes[at].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "shingle", "hash"])
+
+    key = items.schema["key"].dataType.simpleString()
+    return items.mapInArrow(scan, f"key {key}, shingle string, hash long").distinct()
+
+
+def _hits(docs: DataFrame, words: int, classes: list[int], signed, every) -> DataFrame:
+    """Probable item shingles of documents (key, text) with a probable signature shingle.
+
+    Rows (key, size, shingle, classes): ``size`` is the number of the document's shingles,
+    repeats included; ``classes`` has a bit for each size class, no larger than the
+    document's, whose signatures the shingle is probably in.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, bits = _Powers(), bloom.value if bloom else None
+        powers = _Powers()
         for batch in batches:
             texts = batch.column("text")
             for rows, hashes, starts, ends, data in hashed_shingles(texts, words, powers):
-                sizes = np.bincount(rows, minlength=len(texts))
-                keep = np.ones(len(rows), bool)
-                if bits is not None:
-                    for word, bit in _bits(hashes, len(bits)):
-                        keep &= (bits[word] >> bit) & np.uint64(1) == 1
-                at = np.flatnonzero(keep)
-                at = at[np.sort(np.unique(np.stack([rows[at], hashes[at].view(np.int64)]), axis=1, return_index=True)[1])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("key").take(pa.array(rows[at])),
-                        pa.array(sizes[rows[at]]),
-                        pa.array([_text(data, s, e) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.string()),
-                        pa.array(hashes[at].view(np.int64)),
-                    ],
-                    ["key", "size", "shingle", "hash"],
-                )
+                sizes = np.bincount(rows, minlength=len(texts))[rows]
+                found = np.zeros(len(rows), np.int64)
+                for c in classes:
+                    at = np.flatnonzero(sizes >= 1 << c)
+                    found[at[_in(signed.value, _by_class(hashes[at], c))]] |= 1 << c
+                probable = np.zeros(len(texts), bool)
+                probable[rows[found != 0]] = True
+                at = np.flatnonzero(probable[rows])
+                at = _distinct(rows, hashes, at[(found[at] != 0) | _in(every.value, hashes[at])])
+                columns = [
+                    batch.column("key").take(pa.array(rows[at])),
+                    pa.array(sizes[at]),
+                    pa.array([_text(data, s, e) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.string()),
+                    pa.array(found[at]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "size", "shingle", "classes"])
 
     key = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(scan, f"key {key}, size long, shingle string, hash long")
+    return docs.mapInArrow(scan, f"key {key}, size long, shingle string, classes long")
 
 
-def _bloom(items: DataFrame, count: int):
-    """Bloom filter of the items' hashes, at most BLOOM_WORDS_MOST words of 64 bits.
+def _bloom(hashed: DataFrame, count: int):
+    """Bloom filter of the column ``hash``, at most BLOOM_WORDS_MOST words of 64 bits.
 
     Beyond 64 million bits it lets more through, and the joins have more to do.
     """
@@ -178,10 +219,49 @@ def _bloom(items: DataFrame, count: int):
             for s in (0, 19, 38)
         ]
     )
-    parts = items.select(F.inline(spots)).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    parts = hashed.select(F.inline(spots)).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(words, np.uint64)
     out[parts["word"].to_numpy()] = parts["bits"].to_numpy().view(np.uint64)
-    return items.sparkSession.sparkContext.broadcast(out)
+    return hashed.sparkSession.sparkContext.broadcast(out)
+
+
+def signatures(index: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of item shingles (key, shingle, hash): the signatures and the items.
+
+    Signatures (item, need, class, shingle, hash) are the n - need + 1 shingles of smallest
+    hash; items (item, shingles, need, texts) have all shingles.
+    """
+    need = F.greatest(F.ceil(F.size("own") * threshold - 1e-9), F.lit(1).cast("long"))
+    sizes = index.groupBy(F.col("key").alias("item")).agg(F.sort_array(F.collect_list(F.struct("hash", "shingle"))).alias("own"))
+    sized = sizes.select("item", F.size("own").cast("long").alias("shingles"), need.alias("need"), "own")
+    size_class = F.floor(F.log2("need")).cast("int").alias("class")
+    first = F.slice("own", F.lit(1), (F.col("shingles") - F.col("need") + 1).cast("int"))
+    return sized.select("item", "need", size_class, F.inline(first)), sized.select("item", "shingles", "need", F.col("own.shingle").alias("texts"))
+
+
+def _class_hash(hashes: Column, classes: Column) -> Column:
+    @F.arrow_udf("long")
+    def of(hashes: pa.Array, classes: pa.Array) -> pa.Array:
+        h, c = hashes.to_numpy(zero_copy_only=False).view(np.uint64), classes.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(h), np.uint64)
+        for one in np.unique(c).tolist():
+            out[c == one] = _by_class(h[c == one], one)
+        return pa.array(out.view(np.int64))
+
+    return of(hashes, classes)
+
+
+def candidate_pairs(hits: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (key, item) of a document and an item it has a signature shingle of.
+
+    A shingle that most documents have is dealt over SALTS keys.
+    """
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    probes = signed.select("item", "need", "class", "shingle", F.explode(every).alias("salt"))
+    at = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda c: F.getbit("classes", c) == 1)
+    asking = hits.where("classes <> 0").withColumn("class", F.explode(at)).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    met = asking.join(probes, ["class", "shingle", "salt"]).where("size >= need")
+    return met.select("key", "item").distinct()
 
 
 def contained_items(
@@ -202,35 +282,21 @@ def contained_items(
     ASCII.  A text of fewer words is one shingle; null, empty and wordless texts have
     none and are in no pair.  Documents are told apart by id and text (``text_hash`` is
     Spark's xxhash64 of the text), so equal rows give one answer; null ids are an id.
-    Equal items each count.  Other input columns are not looked at.  Empty tables give
-    an empty result.
+    Equal items each count, items of one id and text once.  Other columns of either table
+    are not looked at, whatever their names.  Empty tables give an empty result.
     """
     named = F.struct(quoted(item_col).alias("item"), F.xxhash64(quoted(item_text)).alias("text"))
-    index = items.select(named.alias("key"), quoted(item_text).alias("text"))
-    index = stage(_shingle_rows(index, words).select("key", "shingle", "hash").distinct(), "item-shingles")
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("shingles"), F.sort_array(F.collect_set("hash")).alias("hashes"))
-    need = F.ceil(F.col("shingles") * threshold - 1e-9)
-    signature = sizes.select(
-        F.col("key").alias("item"),
-        "shingles",
-        need.alias("need"),
-        # the hash up to which an item's shingles are its signature
-        F.get("hashes", (F.least(F.col("shingles") - need, F.size("hashes") - 1)).cast("int")).alias("upto"),
-    )
-    known = stage(index.join(signature, F.col("key") == F.col("item")).select("item", "shingle", "hash", "shingles", "need", "upto"), "item-index")
-
+    index = stage(_item_shingles(items.select(named.alias("key"), quoted(item_text).alias("text")), words), "item-shingles")
+    signed, known = (stage(t, n) for t, n in zip(signatures(index, threshold), ("item-signatures", "item-index"), strict=True))
+    classes = sorted(r[0] for r in signed.select("class").distinct().collect())  # a logarithm's values
+    in_class = signed.select(_class_hash(F.col("hash"), F.col("class")).alias("hash"))
+    blooms = _bloom(in_class, signed.count()), _bloom(index.select("hash"), index.count())
     rows = docs.select(F.struct(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("text")).alias("key"), quoted(text_col).alias("text"))
-    hits = stage(_shingle_rows(rows, words, _bloom(known, known.count())).select("key", "size", "shingle"), "item-hits")
-    size_class = lambda c: F.floor(F.log2(c))
-    probes = known.where("hash <= upto").select("item", "need", "shingle")
-    candidates = (
-        hits.join(probes, "shingle")
-        .where((size_class("size") >= size_class("need")) & (F.col("size") >= F.col("need")))
-        .select("key", "item")
-        .distinct()
-    )
-    shared = hits.join(known, "shingle").groupBy("key", "item", "shingles", "need").agg(F.countDistinct("shingle").alias("shared"))
-    verified = shared.where("shared >= need").join(candidates, ["key", "item"], "left_semi")
+    hits = stage(_hits(rows, words, classes, *blooms), "item-hits")
+    candidates = stage(candidate_pairs(hits, signed), "item-candidates")
+    own = hits.join(candidates.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.collect_set("shingle").alias("own"))
+    compared = candidates.join(known, "item").join(own, "key")
+    verified = compared.withColumn("shared", F.size(F.array_intersect("texts", "own")).cast("long")).where("shared >= need")
     return verified.select(
         F.col("key")["id"].alias(id_col),
         F.col("key")["text"].alias("text_hash"),
