@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelwise.llm.base import quoted, stage
 
-SEGMENTS = (4, 16)
+SEGMENTS = (4, 16, 32)  # the finest bounds prune where vectors point in all directions
 BLOCK, QUERY_BLOCK = 2048, 512
 HELD_BLOCKS = 64  # blocks of queries whose running lists a task holds
 FEW_LENGTHS = 8
@@ -106,6 +106,7 @@ class _Best:
         self.ids = [np.zeros(0, np.int64)] * len(queries.ids)
         self.scores = [np.zeros(0, np.int64)] * len(queries.ids)
         self.floor = np.full(len(queries.ids), -np.inf) if floor is None else floor.copy()
+        self.pairs = self.computed = 0  # pairs of a query and a vector met, and exact products among them
 
     def look(self, block: _Block) -> None:
         if not len(block.ids):
@@ -118,6 +119,7 @@ class _Best:
                 if len(at):
                     bound = block.features[level][at] @ self.queries.features[level][q]
                     at = at[bound + 1e-6 + 1e-9 * np.abs(bound) >= self.floor[q]]
+            self.pairs, self.computed = self.pairs + len(block.ids), self.computed + len(at)
             if len(at):
                 scores = np.concatenate([self.scores[q], exact_products(block.matrix[at], query)])
                 ids = np.concatenate([self.ids[q], block.ids[at]])
@@ -204,7 +206,9 @@ def exact_top_k(
 
     floored = queries.join(floors, "query_block", "left").withColumn("floor", as_floor("floors", "query_ids")).drop("floors")
     copies = stage(floored, "query-floors").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    # a block's number is its task's and its place in it: their sum deals out few blocks of many tasks and many of few
+    turn = F.shiftrightunsigned("block", 32) + F.col("block").bitwiseAND((1 << 32) - 1)
+    dealt = blocks.withColumn("part", F.pmod(turn, F.lit(parts)).cast("int"))
     best = _meet(copies.join(dealt, ["part", "dim"]).drop("part"), k)
     rank = F.row_number().over(Window.partitionBy("query_block", "place").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -20,6 +20,22 @@ def test_features_bound_products():
             last = bound
 
 
+def test_bounds_prune():
+    """Random directions, the hardest case: the finest level spares two of five exact products."""
+    draw = np.random.default_rng(2)
+    vectors = draw.normal(size=(6000, 64))
+    numbers = np.floor(1024 * vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+    block = lambda a, b: topk._Block(64, np.arange(a, b).astype("<i8").tobytes(), numbers[a:b].astype("<f8").tobytes())
+    best = topk._Best(block(0, 50), 10, None)
+    for at in range(0, 6000, 500):
+        best.look(block(at, at + 500))
+    scores = numbers[:50] @ numbers.T
+    for q in range(50):
+        scores[q, q] = -np.inf
+        assert best.ids[q].tolist() == np.lexsort((np.arange(6000), -scores[q]))[:10].tolist()
+    assert best.computed < 0.6 * best.pairs, best.computed / best.pairs
+
+
 def brute(rows, k=10):
     valid = []
     for i, v in rows:
