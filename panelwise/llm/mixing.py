@@ -1,16 +1,19 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Every source is one long stream: its documents in a keyed random order, repeated
-from the start when it is used up.  The stream is cut into blocks of equally many
-words, and the target decides how many blocks a source gives.  A tree of halvings
-splits these exact block quotas among the output shards: at every node, the blocks
-of all sources are drawn without replacement into the left and the right half, so
-the counts of a node follow the multivariate hypergeometric law and always add up.
-A shard's quota of a source is then an interval of the source's permuted blocks.
-
-Only DataFrame expressions are used.  The tree and the source table have a row per
-block or source (``shards * blocks_per_shard`` and the number of sources), whatever
-the data.  A hot source is spread over 4096 buckets of its random order; running
+from the start when it is used up.  Its target is cut into a whole number of blocks of
+equally many words, the source's quota; the blocks of all sources stand in one random
+order, and a tree of halvings deals them to the output shards: a node's blocks are the
+slots of an interval of that order, and as many of them as the left half of its shards
+is to get go left.  Given the counts of a node, those of its left half thus follow the
+multivariate hypergeometric law, and quotas are split exactly at every node.  A document is
+taken once for each epoch in which its middle lies in a block that the tree has dealt
+to a shard.
+
+Only DataFrame expressions are used.  Ranks and running sums over sources and over
+blocks are taken in ranges of their order, so that there may be as many sources as
+there are web hosts; there are ``shards * blocks_per_shard`` blocks and at most one more
+for each source.  A hot source is spread over 4096 buckets of its random order; running
 sums are taken within a bucket and shifted by the sums of the buckets before it.
 """
 
@@ -22,11 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm.base import fresh, quoted, stage, without, word_count
+from panelwise.operators.groups import running_sum
 
 OUT = ("size", "source_size", "target", "draws")
 BUCKET_HEX = 3  # 16 ** 3 buckets of each source's random order
 PIECE_BITS = 6  # a shard is dealt out in 64 pieces
-STRIDE = 2147483647  # a prime above any number of blocks: multiples of it permute them
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
@@ -37,57 +40,63 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], max_epochs: i
     out again by weight.  In the order in which sources fill up, the first one that
     its share does not fill gives the words per weight for it and all after it.
     """
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))
-    w = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-    most = (F.col("words") * max_epochs).cast("double")
-    order = Window.orderBy("full_at", "source_key")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("words").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    return (
-        sources.withColumn("weight", w)
-        .withColumn("most", most)
-        .withColumn("full_at", F.col("most") / F.col("weight"))
-        .withColumn("level", left / F.sum("weight").over(after))
-        .withColumn("per_weight", F.first(F.when(F.col("level") <= F.col("full_at"), F.col("level")), ignorenulls=True).over(everything))
-        .withColumn("target", F.least("most", F.col("weight") * F.coalesce("per_weight", F.col("level"))))
-        .select("source_key", "words", "target")
-    )
+    one = sources.withColumn("one", F.lit(1).cast("long"))
+    ranked = running_sum(one, {"one": "rank"}, [F.asc_nulls_last("source"), F.asc("source_key")], stage)
+    w = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    filling = ranked.select("source_key", "words", w.alias("weight"), (F.col("words") * max_epochs).cast("double").alias("most"))
+    filling = filling.withColumn("full_at", F.col("most") / F.col("weight"))
+    filled = stage(running_sum(filling, {"most": "most_upto", "weight": "weight_upto"}, [F.asc("full_at"), F.asc("source_key")], stage), "mix-filling")
+    everything = filled.agg(F.struct(F.sum("words").alias("words"), F.sum("weight").alias("weight"))).scalar()
+    left = everything["words"] - (F.col("most_upto") - F.col("most"))
+    level = left / (everything["weight"] - (F.col("weight_upto") - F.col("weight")))
+    levels = filled.withColumn("level", level).where("level <= full_at")
+    per_weight = levels.agg(F.min_by("level", F.struct("full_at", "source_key"))).scalar()
+    # without such a source all are full
+    target = F.coalesce(F.least("most", F.col("weight") * per_weight), F.col("most"))
+    return filled.select("source_key", "words", target.alias("target"))
+
+
+def shard_of(slot: Column, slots: Column, shards: int) -> Column:
+    """The shard whose leaf of the splitting tree holds a slot (from 0) of ``slots``.
+
+    A node has the shards ``low`` to ``high`` (exclusive) and ``n`` slots from ``first`` on;
+    its left half gets its share of them, as a whole number.
+    """
+    start = F.struct(F.lit(0).alias("low"), F.lit(shards).alias("high"), F.lit(0).cast("long").alias("first"), slots.cast("long").alias("n"))
+
+    def descend(node: Column, _: Column) -> Column:
+        middle = F.floor((node["low"] + node["high"]) / 2).cast("int")
+        left = F.round(node["n"] * (middle - node["low"]) / (node["high"] - node["low"])).cast("long")
+        leaf, goes_left = node["high"] - node["low"] < 2, slot - node["first"] < left
+        return F.struct(
+            F.when(leaf | goes_left, node["low"]).otherwise(middle).alias("low"),
+            F.when(~leaf & goes_left, middle).otherwise(node["high"]).alias("high"),
+            F.when(leaf | goes_left, node["first"]).otherwise(node["first"] + left).alias("first"),
+            F.when(leaf, node["n"]).when(goes_left, left).otherwise(node["n"] - left).alias("n"),
+        )
+
+    depth = ceil(log2(shards)) if shards > 1 else 0
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)) if depth else F.array().cast("array<int>"), start, descend)["low"]
 
 
 def split_quotas(sources: DataFrame, shards: int, blocks_per_shard: int, seed: str) -> DataFrame:
-    """Add ``block_words``, ``blocks`` and ``ends`` to (source_key, words, target).
+    """Add ``block_words`` and ``shards`` to (source_key, words, target).
 
-    ``ends[i]`` is the number of the source's blocks that go to shards 0 to i.
+    ``shards[i]`` is the shard that draws block i of the source's stream; there are as many
+    blocks as the source's quota, and they cover its target.
     """
-    total = F.sum("target").over(Window.partitionBy())
+    total = sources.agg(F.sum("target")).scalar()
     step = F.greatest(F.lit(1.0), F.ceil(total / (shards * blocks_per_shard)).cast("double"))
-    sized = sources.withColumn("block_words", step).withColumn("blocks", F.ceil(F.col("target") / F.col("block_words")).cast("long"))
-    nodes = (
-        sized.where("blocks > 0")
-        .select("source_key", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
-        .select("source_key", "block", F.lit(0).alias("low"), F.lit(shards).alias("high"))
-    )
-    for level in range(ceil(log2(shards)) if shards > 1 else 0):
-        node = Window.partitionBy("low", "high")
-        order = node.orderBy(F.md5(F.concat_ws("|", F.lit(f"{seed}|{level}"), "source_key", "block")), "source_key", "block")
-        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-        # Slots of the left half: its share of the node's blocks, as whole blocks.
-        slots = F.round(F.count(F.lit(1)).over(node) * (middle - F.col("low")) / (F.col("high") - F.col("low")))
-        left = F.row_number().over(order) <= slots
-        nodes = nodes.select(
-            "source_key",
-            "block",
-            F.when((F.col("high") - F.col("low") < 2) | ~left, F.when(F.col("high") - F.col("low") < 2, F.col("low")).otherwise(middle)).otherwise(F.col("low")).alias("low"),
-            F.when((F.col("high") - F.col("low") < 2) | ~left, F.col("high")).otherwise(middle).alias("high"),
-        )
-    quotas = nodes.groupBy("source_key", F.col("low").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
-    every = F.sequence(F.lit(0), F.lit(shards - 1))
-    ends = quotas.groupBy("source_key").agg(F.map_from_entries(F.collect_list(F.struct("shard", "quota"))).alias("quota"))
-    counts = F.transform(every, lambda s: F.coalesce(F.try_element_at("quota", s), F.lit(0).cast("long")))
-    running = F.transform(every, lambda s: F.aggregate(F.slice(counts, 1, s + 1), F.lit(0).cast("long"), lambda a, x: a + x))
-    return sized.join(ends.select("source_key", running.alias("ends")), "source_key", "left")
+    sized = sources.withColumn("quota", F.ceil(F.col("target") / step).cast("int")).where("quota > 0")
+    blocks = sized.select("source_key", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("block"), F.lit(1).cast("long").alias("one"))
+    order = F.md5(F.concat_ws("|", F.lit(seed), "source_key", "block"))
+    placed = running_sum(blocks.withColumn("place", order), {"one": "upto"}, [F.asc(c) for c in ("place", "source_key", "block")], stage)
+    slots = sized.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    dealt = placed.withColumn("shard", shard_of(F.col("upto") - 1, F.lit(slots), shards).cast("smallint"))
+    in_order = F.sort_array(F.collect_list(F.struct("block", "shard")))  # a source's blocks, a bounded number
+    drawn = dealt.groupBy("source_key").agg(in_order["shard"].alias("shards"))
+    block_words = (F.col("target") / F.col("quota")).alias("block_words")
+    return sources.join(sized.join(drawn, "source_key").select("source_key", block_words, "shards"), "source_key", "left")
 
 
 def mix_documents(
@@ -106,8 +115,8 @@ def mix_documents(
     Adds ``size`` (words of the text), ``source_size``, ``target`` (words that the
     source is to give) and ``draws``: for each time the document is taken, its epoch,
     block, shard and place; the array is empty where it is not taken.  A document is
-    taken in an epoch if its middle lies before the stream's cut, so a source misses
-    its target by half a document at most.
+    taken in an epoch if its middle lies in one of the blocks that the tree has dealt
+    out, so a source misses its target by half a document at most.
 
     Null and empty texts have size 0: they weigh nothing.  Null sources are one
     source, ordered last.  Rows that share an id are ordered by size; equal rows
@@ -134,7 +143,7 @@ def mix_documents(
     sources = sums.groupBy("source_key").agg(F.sum("words").alias("words"))
     sources = sources.withColumn("source", F.when(F.col("source_key") != "0", F.expr("substring(source_key, 2)")))
     quotas = stage(split_quotas(source_targets(sources, weights, max_epochs), shards, blocks_per_shard, seed), "mix-quotas")
-    plan = quotas.select(F.col("source_key").alias(skey), F.struct("words", "target", "block_words", "blocks", "ends").alias(at))
+    plan = quotas.select(F.col("source_key").alias(skey), F.struct("words", "target", "block_words", "shards").alias(at))
 
     inside = Window.partitionBy(skey, bucket).orderBy(key, "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.join(offsets, [skey, bucket]).withColumn(skip, F.col(skip) + F.sum("size").over(inside) - F.col("size"))
@@ -142,23 +151,20 @@ def mix_documents(
     words, target = F.col(at)["words"], F.col(at)["target"]
 
     def draw(epoch: Column) -> Column:
-        start = epoch * words + F.col(skip)
-        block = F.floor(start / F.col(at)["block_words"])
-        turn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(skey))), 1, 7), 16, 10).cast("long")
-        rank = F.pmod(block * STRIDE + turn, F.greatest(F.col(at)["blocks"], F.lit(1)))
+        middle = epoch * words + F.col(skip) + F.col("size") / 2.0
+        block = F.floor(middle / F.col(at)["block_words"])
         return F.struct(
             epoch.cast("int").alias("epoch"),
             block.alias("block"),
-            F.size(F.filter(F.col(at)["ends"], lambda end: end <= rank)).alias("shard"),
+            F.get(F.col(at)["shards"], block.cast("int")).cast("int").alias("shard"),
             F.xxhash64(F.lit(seed), F.col(key), epoch).alias("place"),
         )
 
-    taken = F.filter(
-        F.sequence(F.lit(0).cast("long"), F.lit(max_epochs - 1).cast("long")),
-        lambda e: (e * words + F.col(skip) + F.col("size") / 2.0) < target,
-    )
+    epochs = F.sequence(F.lit(0).cast("long"), F.lit(max_epochs - 1).cast("long"))
+    dealt = F.when(F.col(at)["shards"].isNotNull(), F.filter(F.transform(epochs, draw), lambda d: d["shard"].isNotNull()))
+    none = F.array().cast("array<struct<epoch:int,block:bigint,shard:int,place:bigint>>")
     return placed.select(
-        *[quoted(c) for c in docs.columns], "size", words.alias("source_size"), target.alias("target"), F.transform(taken, draw).alias("draws")
+        *[quoted(c) for c in docs.columns], "size", words.alias("source_size"), target.alias("target"), F.coalesce(dealt, none).alias("draws")
     )
 
 

@@ -17,12 +17,15 @@ WITH sized AS (
   FROM filling
 ), targets AS (
   SELECT source, words, least(most, weight * (SELECT first(level ORDER BY most / weight, nth) FROM levels WHERE level <= most / weight)) AS target FROM levels
+), quotas AS (
+  SELECT *, ceil(target / greatest(1.0::DOUBLE, ceil((SELECT sum(target) FROM targets) / 2048)))::BIGINT AS quota FROM targets
 ), placed AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM sized
 )
 SELECT doc_id, size, words AS source_size, target::DOUBLE AS target,
-  (size * len(list_filter([0, 1, 2], lambda e: e * words + start + size / 2.0 < target)))::BIGINT AS taken
-FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+  (size * CASE WHEN quota = 0 THEN 0 ELSE len(list_filter([0, 1, 2],
+    lambda e: floor((e * words + start + size / 2.0::DOUBLE)::DOUBLE / (target / quota)) < quota)) END)::BIGINT AS taken
+FROM placed JOIN quotas ON placed.source IS NOT DISTINCT FROM quotas.source
 """
 
 # One round of the search: the edges around each open splitter, and whether one is near enough.
