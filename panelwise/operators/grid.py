@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,16 +70,21 @@ def complete(
     """Every distinct value of ``over`` for every observed tuple of ``nesting``.
 
     Tuples that are missing come in with nulls; ``fill`` then replaces nulls,
-    also those that were in the input.  ``over`` must have few distinct values.
+    also those that were in the input.  ``over`` must have few distinct values; rows
+    without one are left out, but their ``nesting`` counts.  Null keys are keys, and
+    repeated rows stay.
+
+    The rows themselves do not move: each key gathers the values it has (partial sets,
+    no more than there are values), and the others come out of that one row.  The table
+    is read three times, so it should be staged.
     """
     values = df.agg(F.array_sort(F.collect_set(over))).scalar()
-    keys = df.select(*nesting).distinct().withColumn(over, F.explode(values))
-    on = [*nesting, over]
-    right = df.select(
-        *[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in df.columns]
-    )
-    cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
-    out = keys.join(right, cond, "left").select(*df.columns)
+    seen = df.groupBy(*nesting).agg(F.collect_set(over).alias("_seen"))
+    absent = seen.select(*nesting, F.explode(F.array_except(values, "_seen")).alias(over))
+    given = [*nesting, over]
+    kinds = {f.name: f.dataType for f in df.schema}
+    absent = absent.select(*[F.col(c) if c in given else F.lit(None).cast(kinds[c]).alias(c) for c in df.columns])
+    out = df.where(F.col(over).isNotNull()).unionByName(absent)
     for c, v in (fill or {}).items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return out

@@ -56,3 +56,27 @@ def replace_by_label(df: DataFrame, dim: DataFrame, col: str, dim_key: str, labe
 def keep_keys(df: DataFrame, keys_df: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is in another table."""
     return df.join(keys_df, on, "left_semi")
+
+
+def anti_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``a`` whose key is not in ``b``; null keys match null keys.
+
+    Repeated keys of ``b`` are one, and combine before the shuffle.
+    """
+    right = b.select(*[F.col(c).alias(f"_r_{c}") for c in keys]).distinct()
+    return a.join(right, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys]), "left_anti")
+
+
+def difference(a: DataFrame, b: DataFrame, keys: list[str], bag: bool = False) -> DataFrame:
+    """Keys of ``a`` that ``b`` lacks, as a set or as a bag.
+
+    The set holds each key once.  The bag holds a key as many times as ``a`` has it more
+    often than ``b``.  Null keys match null keys.  Only counts of keys are shuffled, so
+    a key that most rows have costs no more than any other.
+    """
+    left, right = a.select(*keys), b.select(*keys)
+    if not bag:
+        return anti_join(left.distinct(), right, keys)
+    both = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    more = both.groupBy(*keys).agg(F.sum("_n").alias("_n")).where(F.col("_n") > 0)
+    return more.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*keys)

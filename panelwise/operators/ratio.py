@@ -48,25 +48,25 @@ def merge_ratio_numerator(
 
     Rows that only the ratio panel has come without validity.  They take the
     site-period's validity (true if it has none) when such a row is a negative
-    correction and none lacks a denominator; else false.  The per-site facts are
-    a partial aggregate, kept only where they apply, and joined back.
+    correction and none lacks a denominator; else false.  Only rows without validity are
+    aggregated for that, and only the site-periods they concern are read again.
     """
     wide = widen_ratio(vl, owner_dim, spec)
     shared = [c for c in wide.columns if c in nn.columns]
     merged = stage(join_nullsafe(nn, wide, shared, "full"), "ratio_merge")
     valid, den = F.col("vlc_valid"), F.col("tx_pvls_d")
     missing = valid.isNull()
-    facts = (
-        merged.groupBy(spec.site, spec.index)
-        .agg(
-            F.count_if(missing & den.isNull()).alias("_unknown"),
-            F.count_if(missing & (den < 0)).alias("_negative"),
-            F.coalesce(F.max("vlc_valid"), F.lit(True)).alias("_fill"),
-        )
+    keys = [spec.site, spec.index]
+    concerned = (
+        merged.where(missing)
+        .groupBy(*keys)
+        .agg(F.count_if(den.isNull()).alias("_unknown"), F.count_if(den < 0).alias("_negative"))
         .where((F.col("_unknown") == 0) & (F.col("_negative") > 0))
-        .select(spec.site, spec.index, "_fill")
+        .select(*keys)
     )
-    out = merged.join(facts, [spec.site, spec.index], "left")
+    rows = merged.select(*keys, "vlc_valid").join(concerned, keys, "left_semi")
+    facts = rows.groupBy(*keys).agg(F.coalesce(F.max("vlc_valid"), F.lit(True)).alias("_fill"))
+    out = merged.join(facts, keys, "left")
     columns = [*nn.columns, *[c for c in wide.columns if c not in nn.columns]]
     changed = {
         "vlc_valid": F.coalesce(valid, false_if_null("_fill")).alias("vlc_valid"),

@@ -18,7 +18,7 @@ from panelwise.functions.periods import (
 )
 from panelwise.operators import flags as fl
 from panelwise.operators import net_change as nc
-from panelwise.operators.clean import clean_extract, country_dim_from, org_hierarchy
+from panelwise.operators.clean import clean_extract, country_dim, country_dim_from, org_hierarchy
 from panelwise.operators.grid import (
     complete,
     fill_down_up,
@@ -26,15 +26,18 @@ from panelwise.operators.grid import (
     period_table,
     with_exits,
 )
+from panelwise.operators.groups import display_rank, shares_of, top_n_ties
+from panelwise.operators.joins import difference
 from panelwise.operators.ratio import ratio_aggregate, ratio_compare, ratio_validated
 from panelwise.operators.review import multi_owner_pairs, multi_owner_sites
-from panelwise.operators.shape import stack
+from panelwise.operators.shape import arrange_columns, stack
 from panelwise.plans import pipeline, reports
 from panelwise.sources import testbed as tb
 from panelwise.sources.readers import (
     FLAGS_SCHEMA,
     latest_snapshot,
     read_extract,
+    read_latest,
     scope_extract,
     typed_schema,
 )
@@ -45,6 +48,7 @@ from panelwise.spec import FLAG_COLUMNS
 Query = Callable[[SparkSession, str], DataFrame]
 
 PAIR = ["orgunituid", "mech_code", "period"]
+OWNER = ["mech_code", "fundingagency"]
 # Parameters the published reports set as literals, for the test panel.
 UNIT = "ASIA"
 COUNTRY = "NATION_7"
@@ -368,7 +372,46 @@ def multi_share_wide(spark, d):
 
 
 def multi_share_labels(spark, d):
-    return reports.multi_share_labels(_named_panel(spark, d), UNIT_NAMES)
+    """Units in the order of their latest stock."""
+    order = reports.unit_order(tb.with_names(spark, d, _staged_panel(spark, d)), UNIT_NAMES)
+    return reports.multi_share_labels(_named_panel(spark, d), UNIT_NAMES, unit_order=order)
+
+
+def pairs_lost(spark, d):
+    return _labelled(reports.pairs_lost(_staged_panel(spark, d)))
+
+
+def orders_moved(spark, d):
+    """How many more orders of an owner a customer has in one quarter than in the next: a bag difference."""
+    orders = tb.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("orgunituid"), F.substring("o_orderpriority", 1, 1).alias("mech_code"), fiscal_index("o_orderdate").alias("period_idx")
+    )
+    keys = ["orgunituid", "mech_code", "period_idx"]
+    more = difference(orders, orders.withColumn("period_idx", F.col("period_idx") - 1), keys, bag=True)
+    return _labelled(reports.count_by(more, keys))
+
+
+def median_order_rank(spark, d):
+    """Customers by the median of their orders' totals, which is found by counting."""
+    orders = tb.table(spark, d, "orders")
+    return display_rank(orders, "o_custkey", "o_totalprice", "median", desc=True, name="customer_rank")
+
+
+def customers_by_orders(spark, d):
+    """Running share of orders over all customers, many of which tie."""
+    return rounded(shares_of(tb.table(spark, d, "orders"), "o_custkey"), *SHARES)
+
+
+def largest_customers(spark, d):
+    """The ten customers with most orders, and all that tie with the last of them."""
+    return top_n_ties(reports.count_by(tb.table(spark, d, "orders"), ["o_custkey"]), "n", 10)
+
+
+def trailing_sites(spark, d):
+    """Sites of the last four quarters, with a flag that the sketches agree to 5 %."""
+    out = reports.trailing_sites(_staged_panel(spark, d), 4, stage=stage)
+    near = F.abs(F.col("approx_sites") - F.col("sites")) <= 0.05 * F.col("sites")
+    return _labelled(out.withColumn("near", near), "period", "sites", "near")
 
 
 def multi_rows_one_unit(spark, d):
@@ -510,6 +553,25 @@ def landed_extract(spark, d):
     return clean.drop("period_idx")
 
 
+def landed_by_unit(spark, d):
+    """The review sheet of sites with several owners, a folder per operating unit, read back."""
+    flagged, first = _flagged_with_start(spark, d)
+    rows = reports.after_first_period(flagged, first_period=first).where("flag_multimech_site")
+    rows = rows.select("operatingunit", "orgunituid", "snu1", "psnu", "facility", *OWNER, "period", "value")
+    path = f"{run_folder(spark)}/review-{uuid4().hex}"
+    write_by(rows, "operatingunit", path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def landed_snapshot(spark, d):
+    """Orders landed as a snapshot per fiscal quarter; the newest is read by its folder's name."""
+    root = f"{run_folder(spark)}/snapshots-{uuid4().hex}"
+    orders = tb.table(spark, d, "orders").withColumn("snapshot", fiscal_index("o_orderdate"))
+    write_by(orders.select("o_orderkey", "o_totalprice", "snapshot"), "snapshot", f"{root}/orders")
+    newest = read_latest(spark, root, "orders")
+    return newest.select("o_orderkey", index_label("snapshot").alias("snapshot"), "o_totalprice")
+
+
 def landed_flags(spark, d):
     """The flags as a text file, read back with their schema."""
     path = f"{run_folder(spark)}/extracts-{uuid4().hex}"
@@ -522,12 +584,25 @@ def country_levels(spark, d):
     levels = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("country_name"), F.col("r_name").alias("name3"), (F.col("n_nationkey") % 3 + 4).alias("facility")
     )
-    units = nation.where("n_nationkey < 20").select(
-        F.col("n_name").alias("displayName"), F.format_string("id%d", "n_nationkey").alias("id")
-    )
+    supplying = nation.join(tb.table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi")
+    units = supplying.select(F.col("n_name").alias("displayName"), F.format_string("id%d", "n_nationkey").alias("id"))
     return country_dim_from(levels, units)
 
 
+def country_list_query(spark, d):
+    """Countries with the levels of their units and facilities, these next to the unit's name."""
+    nation, region = tb.table(spark, d, "nation"), tb.table(spark, d, "region")
+    raw = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("r_name").alias("operatingunit"),
+        F.col("n_name").alias("countryname"),
+        F.format_string("id%d", "n_nationkey").alias("countryname_uid"),
+        (F.col("n_nationkey") % 2 + 3).alias("psnu_lvl"),
+        (F.col("n_nationkey") % 3 + 4).alias("facility_lvl"),
+        F.lit("unused").alias("comment"),
+    )
+    return arrange_columns(country_dim(raw), after=("operatingunit", ["psnu_lvl", "site_lvl"]))
+
+
 def unit_hierarchy(spark, d):
     units = tb.table(spark, d, "nation").select(
         F.col("n_nationkey").alias("uid"), F.when(F.col("n_nationkey") % 2 == 0, "OU").otherwise("region").alias("type")
@@ -628,8 +703,17 @@ def queries() -> dict[str, Query]:
         ),
         "country_pairs": lambda s, d: reports.country_pairs(_review(s, d)),
         "site_history_wide": site_history_wide,
+        "pairs_lost": pairs_lost,
+        "orders_moved": orders_moved,
+        "median_order_rank": median_order_rank,
+        "customers_by_orders": customers_by_orders,
+        "largest_customers": largest_customers,
+        "trailing_sites": trailing_sites,
+        "landed_by_unit": landed_by_unit,
+        "landed_snapshot": landed_snapshot,
         "landed_extract": landed_extract,
         "landed_flags": landed_flags,
         "country_levels": country_levels,
+        "country_list": country_list_query,
         "unit_hierarchy": unit_hierarchy,
     }

@@ -44,6 +44,22 @@ def nonzero(*cols: str) -> str:
     return "(" + " OR ".join(f"coalesce({c}, 0) <> 0" for c in cols) + ")"
 
 
+def pivot(on: str, values: list[str], using: str) -> str:
+    """The block ``cells`` with a column for each listed value; a view may hold it."""
+    return f"SELECT * FROM (PIVOT cells ON {on} IN ({quoted(values)}) USING {using})"
+
+
+def quarters_between(first: int, last: int) -> list[str]:
+    """Labels of fiscal quarters, by year * 4 + quarter."""
+    return [f"FY{(i - 1) // 4 % 100:02d}Q{(i - 1) % 4 + 1}" for i in range(first, last + 1)]
+
+
+# The calendar of the test tables: FY95Q2 to FY01Q4.
+FIRST, LAST = 1995 * 4 + 2, 2001 * 4 + 4
+# Numbers of owners that sites of the tables at scale 0.01 have.
+OWNER_COUNTS = [f"owners_{n}" for n in range(1, 5)]
+
+
 def recode(c: str, names: dict[str, str]) -> str:
     return f"CASE {c} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in names.items()) + f" ELSE {c} END"
 
@@ -603,7 +619,7 @@ FROM (SELECT DISTINCT operatingunit, period_idx, period, mechs FROM lists) GROUP
             SITE_OWNERS,
         ),
         "multi_owner_sites": q(
-            "PIVOT cells ON period USING max(mechs)",
+            pivot("period", quarters_between(FIRST + 1, LAST), "max(mechs)"),
             *REVIEW,
             SITE_OWNERS,
             """
@@ -611,7 +627,7 @@ cells AS (SELECT operatingunit, orgunituid, snu1, psnu, facility, period, mechs,
                  CAST(NULL AS VARCHAR) AS "why multi mechs? pops serving? full duplication?" FROM lists)""",
         ),
         "multi_owner_histogram": q(
-            "PIVOT cells ON n USING max(sites)",
+            pivot("n", OWNER_COUNTS, "max(sites)"),
             *NAMED,
             OWNERS_PER_SITE,
             """
@@ -625,7 +641,7 @@ SELECT period, CAST(sum(single) AS BIGINT) AS single, CAST(sum(multi) AS BIGINT)
             OWNERS_PER_SITE,
         ),
         "multi_share_wide": q(
-            "PIVOT cells ON period USING max(share)",
+            pivot("period", quarters_between(FIRST, LAST), "max(share)"),
             *NAMED,
             OWNERS_PER_SITE,
             """
@@ -634,11 +650,56 @@ cells AS (SELECT operatingunit, period, round(multi / (single + multi), 6) AS sh
         "multi_share_labels": q(
             f"""
 SELECT {recode('operatingunit', UNIT_NAMES)} AS operatingunit, period, single, multi,
-       nullif(CAST({HALF_EVEN_SHARE} AS DOUBLE), 0) AS share_multi
-FROM (SELECT *, single + multi AS sites, (100 * multi) // (single + multi) AS hundredths FROM unit_share)""",
+       nullif(CAST({HALF_EVEN_SHARE} AS DOUBLE), 0) AS share_multi,
+       coalesce(place, (SELECT count(DISTINCT place) FROM unit_places) + 1) AS unit_rank
+FROM (SELECT *, single + multi AS sites, (100 * multi) // (single + multi) AS hundredths FROM unit_share)
+LEFT JOIN unit_places USING (operatingunit)""",
             *NAMED,
             OWNERS_PER_SITE,
+            LATEST,
+            "unit_places AS (SELECT operatingunit, dense_rank() OVER (ORDER BY n DESC) AS place FROM unit_stock)",
+        ),
+        "pairs_lost": q(
+            f"""
+SELECT orgunituid, mech_code, {label()} AS period FROM (
+  SELECT orgunituid, mech_code, period_idx FROM panel
+  WHERE value IS NOT NULL AND period_idx < (SELECT max(period_idx) FROM panel)
+  EXCEPT SELECT orgunituid, mech_code, period_idx - 1 FROM panel WHERE value IS NOT NULL)""",
+            PANEL,
         ),
+        "orders_moved": f"""
+WITH placed AS (
+  SELECT o_custkey AS orgunituid, substr(o_orderpriority, 1, 1) AS mech_code, {idx('o_orderdate')} AS period_idx FROM orders)
+SELECT orgunituid, mech_code, {label()} AS period, count(*) AS n FROM (
+  SELECT * FROM placed EXCEPT ALL SELECT orgunituid, mech_code, period_idx - 1 FROM placed) GROUP BY ALL""",
+        "median_order_rank": """
+SELECT o_custkey, dense_rank() OVER (ORDER BY m DESC) AS customer_rank
+FROM (SELECT o_custkey, quantile_cont(o_totalprice, 0.5) AS m FROM orders GROUP BY 1)""",
+        "customers_by_orders": """
+SELECT o_custkey, n, round(n / sum(n) OVER (), 6) AS share,
+       round(sum(n) OVER (ORDER BY n DESC, o_custkey ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 6) AS cum_share
+FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)""",
+        "largest_customers": """
+SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 10""",
+        "trailing_sites": q(
+            f"""
+SELECT {label('p.period_idx')} AS period, count(DISTINCT orgunituid) AS sites, TRUE AS near
+FROM (SELECT DISTINCT period_idx FROM panel) p
+JOIN panel x ON x.period_idx BETWEEN p.period_idx - 3 AND p.period_idx GROUP BY p.period_idx""",
+            PANEL,
+        ),
+        "landed_by_unit": q(
+            """SELECT operatingunit, orgunituid, snu1, psnu, facility, mech_code, fundingagency, period, value
+FROM review WHERE flag_multimech_site""",
+            *REVIEW,
+        ),
+        "landed_snapshot": f"""
+SELECT o_orderkey, {label(idx('o_orderdate'))} AS snapshot, o_totalprice FROM orders
+WHERE {idx('o_orderdate')} = (SELECT max({idx('o_orderdate')}) FROM orders)""",
+        "country_list": """
+SELECT r_name AS operatingunit, n_name AS countryname, 'id' || n_nationkey AS countryname_uid,
+       CAST(n_nationkey % 2 + 3 AS INTEGER) AS psnu_lvl, CAST(n_nationkey % 3 + 4 AS INTEGER) AS site_lvl
+FROM nation JOIN region ON n_regionkey = r_regionkey""",
         "multi_rows_one_unit": q(
             f"""
 SELECT period, operatingunit, facility, orgunituid, mech_code, fundingagency, value
@@ -754,7 +815,7 @@ JOIN (SELECT operatingunit AS u, dense_rank() OVER (ORDER BY m DESC) AS unit_ran
             f"SELECT * FROM compared WHERE operatingunit = '{UNIT}'", *COMPARED
         ),
         "lone_obs_wide": q(
-            "PIVOT cells ON period USING max(n)",
+            pivot("period", quarters_between(FIRST + 1, LAST - 1), "max(n)"),
             *REVIEW,
             """
 lone_counts AS (SELECT period, mech_code, count(DISTINCT orgunituid) AS n FROM review
@@ -783,7 +844,7 @@ FROM (SELECT DISTINCT countryname, period, orgunituid, mech_code FROM review) GR
             *REVIEW,
         ),
         "site_history_wide": q(
-            "PIVOT cells ON period USING max(value)",
+            pivot("period", quarters_between(FIRST, LAST), "max(value)"),
             *NETCHANGE,
             """
 cells AS (SELECT orgunituid, mech_code, period, unnest(['tx_curr', 'tx_net_new', 'tx_net_new_adj']) AS indicator,
@@ -794,7 +855,8 @@ cells AS (SELECT orgunituid, mech_code, period, unnest(['tx_curr', 'tx_net_new',
             "SELECT * EXCLUDE (period_idx) REPLACE (CAST(orgunituid AS VARCHAR) AS orgunituid) FROM flagged", *REVIEW
         ),
         "country_levels": """
-SELECT r_name AS operatingunit, CASE WHEN n_nationkey < 20 THEN 'id' || n_nationkey END AS operatingunituid,
+SELECT r_name AS operatingunit,
+       CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'id' || n_nationkey END AS operatingunituid,
        n_name AS countryname, CAST(n_nationkey % 3 + 4 AS INTEGER) AS site_lvl
 FROM nation JOIN region ON n_regionkey = r_regionkey""",
         "unit_hierarchy": "SELECT CAST(c_nationkey AS INTEGER) AS uid, c_custkey AS site FROM customer WHERE c_nationkey % 2 = 0",

@@ -29,12 +29,14 @@ from panelwise.operators.groups import (
     display_rank,
     filter_extreme,
     filter_group,
+    list_rank,
     shares_of,
     sum0_by,
     top_n_ties,
 )
-from panelwise.operators.joins import join_nullsafe
+from panelwise.operators.joins import difference, join_nullsafe
 from panelwise.operators.shape import to_long, to_wide
+from panelwise.operators.sketches import distinct_sketches, merged_count
 from panelwise.spec import (
     ADJUSTED,
     AGENCY_NAMES,
@@ -179,16 +181,54 @@ def multi_share_wide(
 
 
 def multi_share_labels(
-    panel: DataFrame, names: dict[str, str] = UNIT_NAMES, spec: PanelSpec = S
+    panel: DataFrame,
+    names: dict[str, str] = UNIT_NAMES,
+    spec: PanelSpec = S,
+    unit_order: DataFrame | None = None,
+    by: str = "unit_rank",
 ) -> DataFrame:
-    """The same in long form, rounded, zeros as null, units by display name."""
+    """The same in long form, rounded, zeros as null, units by display name.
+
+    ``unit_order`` (display name, ``by``) gives the place of each unit in the chart.
+    """
     long = multi_share(panel, [spec.unit, spec.period], spec)
-    return long.withColumns(
+    named = long.withColumns(
         {
             "share_multi": null_if_zero(round_half_even("share_multi", 2)),
             spec.unit: recode(spec.unit, names),
         }
     )
+    if unit_order is None:
+        return named
+    return join_nullsafe(named, list_rank(named, spec.unit, unit_order, by, "unit_rank"), [spec.unit])
+
+
+def unit_order(df: DataFrame, names: dict[str, str] = UNIT_NAMES, spec: PanelSpec = S) -> DataFrame:
+    """Display names of units with their rank by stock in the latest period."""
+    return display_rank(units_by_latest_stock(df, names, spec), spec.unit, "n", "max", desc=True, name="unit_rank")
+
+
+def pairs_lost(panel: DataFrame, spec: PanelSpec = S) -> DataFrame:
+    """(site, owner) pairs of each period that the next one on the calendar lacks."""
+    keys = [spec.site, spec.owner, spec.index]
+    rows = panel.where(F.col(spec.value).isNotNull())
+    last = period_bound(panel, "max", spec)
+    before = rows.select(spec.site, spec.owner, (F.col(spec.index) - 1).alias(spec.index))
+    return difference(rows.where(F.col(spec.index) < last), before, keys)
+
+
+def trailing_sites(panel: DataFrame, periods: int = 4, spec: PanelSpec = S, stage=as_is) -> DataFrame:
+    """Distinct sites in the last ``periods`` periods up to each, exactly and from stored sketches.
+
+    Each period's sketch is made once and counts for the periods that look back on it.
+    """
+    ends = F.explode(F.sequence(F.col(spec.index), F.col(spec.index) + (periods - 1)))
+    sketches = stage(distinct_sketches(panel, [spec.index], [spec.site]), "site_sketches")
+    known = sketches.select(F.col(spec.index).alias("_known"))
+    near = merged_count(sketches.withColumn(spec.index, ends), [spec.index], name="approx_sites")
+    pairs = panel.select(spec.site, spec.index).distinct().withColumn(spec.index, ends)
+    exact = count_distinct_by(pairs, [spec.index], [spec.site], "sites")
+    return exact.join(near, spec.index).join(known, F.col(spec.index) == F.col("_known"), "left_semi")
 
 
 def multi_rows(panel: DataFrame, spec: PanelSpec = S) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
@@ -65,9 +67,31 @@ def latest_snapshot(df: DataFrame, col: str = "snapshot") -> DataFrame:
     return df.where(F.col(col) == df.agg(F.max(col)).scalar())
 
 
-def read_latest(spark: SparkSession, root: str, dataset: str) -> DataFrame:
-    """Newest snapshot of a dataset laid out as ``root/dataset/snapshot=.../``."""
-    return latest_snapshot(spark.read.parquet(f"{root}/{dataset}"))
+def partition_values(spark: SparkSession, path: str, col: str) -> list[str]:
+    """Values of a partition column from the names of a dataset's folders; no file is opened."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(root) if f.isDirectory()]
+    values = [unquote(n.removeprefix(f"{col}=")) for n in names if n.startswith(f"{col}=")]
+    return [v for v in values if v != "__HIVE_DEFAULT_PARTITION__"]
+
+
+def read_latest(spark: SparkSession, root: str, dataset: str, col: str = "snapshot") -> DataFrame:
+    """Newest snapshot of a dataset laid out as ``root/dataset/snapshot=.../``.
+
+    The newest is the largest number if all names are whole numbers, else the last
+    name as text (dates in year-month-day order).  It is found by the folders' names, and
+    only its folder is listed and read.
+    """
+    path = f"{root}/{dataset}"
+    values = partition_values(spark, path, col)
+    if not values:
+        raise ValueError(f"{path} holds no {col}")
+    numbers = all(v.lstrip("-").isdecimal() for v in values)
+    newest = max(values, key=int if numbers else str)
+    glob = "".join(f"[{c}]" if c in "*?[]{}" else c for c in quote(newest, safe=" -._~,;@&()+!$"))
+    found = spark.read.option("basePath", path).parquet(f"{path}/{col}={glob}")
+    return found.where(F.col(col).cast("string") == newest) if not numbers else found.where(F.col(col) == int(newest))
 
 
 def scope_extract(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -15,10 +16,12 @@ def write_by(
 ) -> None:
     """One folder per value of a column (indicator, operating unit).
 
-    Rows are not gathered per value first: each task writes its own rows, so a
-    value that holds much of the table is written by many tasks.
+    Rows are rebalanced by the column first: adaptive execution then gives a large value
+    to several tasks and several small ones to one task, by the size of their rows, so
+    a folder gets about as many files as its size asks for, however many tasks made the
+    rows.
     """
-    out = df.write.mode(mode).partitionBy(col)
+    out = df.hint("rebalance", F.col(f"`{col}`")).write.mode(mode).partitionBy(col)
     if fmt == "csv":
         out = out.option("header", True).option("nullValue", "").option("emptyValue", "")
     out.format(fmt).save(path)

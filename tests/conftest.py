@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-from compare import session  # noqa: E402
+from local_session import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

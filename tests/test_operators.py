@@ -187,7 +187,7 @@ def test_repeated_keys_are_errors(spark):
         grid.with_exits(panel, ["orgunituid", "mech_code"], grid.period_table(panel)).collect()
 
 
-def test_fill_down_up(spark):
+def test_fill_down_up_of_texts(spark):
     rows = [("k", i, v) for i, v in enumerate([None, None, "a", None, "b", None])] + [("n", 0, None)]
     df = spark.createDataFrame(rows, "k string, i int, v string")
     got = [r.v for r in grid.fill_down_up(df, ["v"], ["k"], ["i"]).orderBy("k", "i").collect()]
