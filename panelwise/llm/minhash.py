@@ -40,7 +40,7 @@ from panelwise.llm.simhash import components
 
 OUT = ("n_shingles", "component_id", "kept")
 SEED = 42
-SMALL, LARGEST = 32, 1024  # classes of a bucket whose pairs are all verified, in the first round and at most
+SMALL, LARGEST = 8, 1024  # classes of a bucket whose pairs are all verified, in the first round and at most
 EMPTY = np.uint64(2**64 - 1)
 GOLDEN = 0x9E3779B97F4A7C15
 CELLS = 1 << 21  # shingles that are sketched together
@@ -176,16 +176,23 @@ def _small_pairs(small: DataFrame, percent: int) -> DataFrame:
     return one.join(other, "bucket").where(fits).select("a", "b").distinct()
 
 
-def _centered(large: DataFrame) -> DataFrame:
-    """Classes of large buckets by their center, each once: (group, center, node).
+def _centered(large: DataFrame, hubs: bool) -> DataFrame:
+    """Classes of large buckets by the center of their bucket, each once: (group, center, node).
 
+    A bucket's center is the class of it that lies in most large buckets.  ``hubs``: it takes
+    over the best center that any of its classes has in another bucket, so that
+    buckets of like classes have one center, of which it need not hold the class.
     Buckets of one group that choose one center go on as one.
     """
     weight = large.groupBy("node").agg(F.sum("count").alias("weight"))
     weighed = large.join(weight, "node")
-    chosen = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "n", "node"))["node"].alias("center"))
+    chosen = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "n", "node")).alias("center"))
+    if hubs:
+        liked = large.join(chosen, "bucket").groupBy("node").agg(F.max("center").alias("liked"))
+        chosen = large.join(liked, "node").groupBy("bucket").agg(F.max("liked").alias("center"))
+    chosen = chosen.select("bucket", F.col("center.node").alias("center"))
     group = F.xxhash64(F.col("bucket")["group"], "center").alias("group")
-    return weighed.join(chosen, "bucket").select(group, "center", "node").distinct()
+    return large.join(chosen, "bucket").select(group, "center", "node").distinct()
 
 
 def _next_buckets(measured: DataFrame, percent: int) -> DataFrame:
@@ -213,8 +220,9 @@ def class_links(entries: DataFrame, sets: DataFrame, percent: int, log: list[dic
     """Links (a, b) that connect all classes that share buckets and are similar enough.
 
     ``entries`` (bucket (group, shingle), node, n, far) and ``sets`` (node, n, set) are
-    staged tables.  Every group lacks the centers of the groups it came from, so the
-    rounds end; what counts as small doubles from round to round, up to ``LARGEST``.
+    staged tables.  From the second round on every group lacks the centers of the groups it
+    came from, so the rounds end; what counts as small doubles from round to round, up
+    to ``LARGEST``.
     """
     links, small = stage(entries.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "no-links"), SMALL
     while True:
@@ -223,7 +231,7 @@ def class_links(entries: DataFrame, sets: DataFrame, percent: int, log: list[dic
             return links
         pairs = stage(_small_pairs(counted.where(F.col("count") <= small), percent), "pairs")
         found = _shared(pairs, sets).where(_linked(percent)).select("a", "b")
-        centered = stage(_centered(counted.where(F.col("count") > small)), "centers")
+        centered = stage(_centered(counted.where(F.col("count") > small), hubs=small == SMALL), "centers")
         small = min(2 * small, max(SMALL, LARGEST))
         centers = centered.select(F.col("center").alias("node")).distinct()
         to_center = centered.where("center <> node").select("group", F.col("center").alias("a"), F.col("node").alias("b"))
@@ -277,9 +285,11 @@ def minhash_groups(
     one = F.max(F.struct(F.col(row).alias("row"), s["n"].alias("n"), s["bands"].alias("bands"))).alias("one")
     nodes = classes.agg(F.min(ident).alias("first_id"), one).select(F.col("one.row").alias("node"), "class", "first_id", "one.n", "one.bands")
     nodes = stage(nodes, "classes")
+    banded = nodes.select(F.explode("bands").alias("band"), "node")
+    several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("band")
     bucket = F.struct(F.lit(0).cast("long").alias("group"), F.col("band").alias("shingle")).alias("bucket")
-    banded = nodes.select(F.explode("bands").alias("band"), "node", "n", F.lit(True).alias("far")).select(bucket, "node", "n", "far")
-    entries = stage(_with_counts(banded).drop("count"), "entries")
+    entries = banded.join(several, "band").join(nodes.select("node", "n"), "node").select(bucket, "node", "n", F.lit(True).alias("far"))
+    entries = stage(entries, "entries")
     # sets of the classes that share a bucket, from one text of each
     wanted = entries.select("node", "n").distinct()
     texts = printed.select(F.col(row).alias("node"), F.col(text).alias("text"))
