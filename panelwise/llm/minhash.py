@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm.base import fresh, quoted, stage, without
+from panelwise.llm.decontam import _bloom, _in
 from panelwise.llm.simhash import components
 
 OUT = ("n_shingles", "component_id", "kept")
@@ -142,20 +143,31 @@ def _sets(words: int):
     return of
 
 
+def _passes(bloom):
+    @F.arrow_udf("boolean")
+    def of(hashes: pa.Array) -> pa.Array:
+        return pa.array(_in(bloom.value, hashes.to_numpy().view(np.uint64)))
+
+    return of
+
+
 def _need(n: Column, m: Column, percent: int) -> Column:
     """Shingles that sets of n and m must share: 100 * shared >= percent * (n + m - shared)."""
     return F.ceil(percent * (n + m) / F.lit(100 + percent) - 1e-9)
 
 
-def _shared(pairs: DataFrame, sets: DataFrame, centers: DataFrame | None = None) -> DataFrame:
+def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with the sizes and sets of both and the number of shingles they share.
 
-    ``centers`` has all values of a if these are few: only their sets take part in that join.
+    Each side's sets are narrowed to its classes first.
     """
-    of_a = sets if centers is None else sets.join(centers, "node", "left_semi")
-    left = of_a.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("set").alias("a_set"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("set").alias("b_set"))
-    both = pairs.join(left, "a").join(right, "b")
+    one, other = (
+        sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi").select(
+            F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("set").alias(f"{c}_set")
+        )
+        for c in "ab"
+    )
+    both = pairs.join(one, "a").join(other, "b")
     return both.withColumn("shared", F.size(F.array_intersect("a_set", "b_set")).cast("long"))
 
 
@@ -220,7 +232,8 @@ def class_links(entries: DataFrame, sets: DataFrame, percent: int, log: list[dic
     """Links (a, b) that connect all classes that share buckets and are similar enough.
 
     ``entries`` (bucket (group, shingle), node, n, far) and ``sets`` (node, n, set) are
-    staged tables.  From the second round on every group lacks the centers of the groups it
+    staged tables.  A round measures all its pairs in one join, and hands on only the sets
+    of classes that still share a bucket.  From the second round on every group lacks the centers of the groups it
     came from, so the rounds end; what counts as small doubles from round to round, up
     to ``LARGEST``.
     """
@@ -229,22 +242,23 @@ def class_links(entries: DataFrame, sets: DataFrame, percent: int, log: list[dic
         counted = stage(_with_counts(entries), "buckets")
         if counted.isEmpty():
             return links
-        pairs = stage(_small_pairs(counted.where(F.col("count") <= small), percent), "pairs")
-        found = _shared(pairs, sets).where(_linked(percent)).select("a", "b")
-        centered = stage(_centered(counted.where(F.col("count") > small), hubs=small == SMALL), "centers")
+        pairs = _small_pairs(counted.where(F.col("count") <= small), percent)
+        centered = _centered(counted.where(F.col("count") > small), hubs=small == SMALL).where("center <> node")
         small = min(2 * small, max(SMALL, LARGEST))
-        centers = centered.select(F.col("center").alias("node")).distinct()
-        to_center = centered.where("center <> node").select("group", F.col("center").alias("a"), F.col("node").alias("b"))
-        outside = F.sort_array(F.array_except("b_set", "a_set"))
+        to_center = centered.select("group", F.col("center").alias("a"), F.col("node").alias("b"))
+        both = stage(to_center.unionByName(pairs.withColumn("group", F.lit(None).cast("long"))), "pairs")
+        has_center = F.col("group").isNotNull()
+        outside = F.when(has_center, F.sort_array(F.array_except("b_set", "a_set")))
         columns = ("group", "a", "b", "a_n", "b_n", "shared", _linked(percent).alias("near"), outside.alias("outside"))
-        measured = stage(_shared(to_center, sets, centers).select(*columns), "measured")
-        found = stage(found.unionByName(measured.where("near").select("a", "b")), "links")
+        measured = stage(_shared(both, sets).select(*columns), "measured")
+        found, measured = measured.where("near").select("a", "b"), measured.where(has_center)
         links = links.unionByName(found)
         if log is not None:
-            log.append({"pairs": pairs.count(), "to_center": measured.count(), "links": found.count()})
+            log.append({"pairs": both.where(~has_center).count(), "to_center": measured.count(), "links": found.count()})
         if measured.where(~F.col("near")).isEmpty():
             return links
         entries = stage(_next_buckets(measured, percent), "entries")
+        sets = stage(sets.join(entries.select("node").distinct(), "node", "left_semi"), "sets")
 
 
 def minhash_groups(
@@ -291,8 +305,10 @@ def minhash_groups(
     entries = banded.join(several, "band").join(nodes.select("node", "n"), "node").select(bucket, "node", "n", F.lit(True).alias("far"))
     entries = stage(entries, "entries")
     # sets of the classes that share a bucket, from one text of each
-    wanted = entries.select("node", "n").distinct()
-    texts = printed.select(F.col(row).alias("node"), F.col(text).alias("text"))
+    wanted = stage(entries.select("node", "n").distinct(), "wanted")
+    hashed = F.xxhash64("node").alias("hash")
+    bloom = _bloom(wanted.select(hashed), wanted.count())  # most texts need not be shuffled
+    texts = printed.select(F.col(row).alias("node"), F.col(text).alias("text")).where(_passes(bloom)(hashed))
     sets = stage(wanted.join(texts, "node").select("node", "n", _sets(words_per_shingle)("text").alias("set")), "sets")
     roots = components(class_links(entries, sets, percent, log)).select("node", "root")
     rooted = nodes.select("node", "class", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
