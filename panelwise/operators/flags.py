@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.columns import false_if_null
 from panelwise.functions.periods import index_label
 from panelwise.operators.grid import on_periods, period_bound, period_table
-from panelwise.operators.joins import enrich, keep_keys
+from panelwise.operators.joins import enrich, join_crowded, keep_keys
 from panelwise.spec import (
     ADJUSTED,
     DEDUP_AGENCY,
@@ -102,6 +102,7 @@ def site_periods(
     return on_periods(per_site, periods, spec).select(
         spec.site,
         spec.index,
+        "_rows",
         multi,
         F.max(spec.index).over(W.partitionBy(spec.site)).alias("last_obs_site"),
         F.lead("_first").over(w).alias("_next"),
@@ -226,14 +227,22 @@ def flag_panel(
     labels: EndLabels = EndLabels(),
     stage=lambda df, name: df,
     lag: int = 2,
+    crowded: int | None = None,
 ) -> DataFrame:
     """All flags in one pass: windows per pair, one site-period table, one join.
 
-    The period table is used twice; ``stage`` writes it in between.
+    The period table is used twice; ``stage`` writes it in between.  ``crowded``: rows of
+    site-periods with more rows than this spread over all tasks in the join, whatever the
+    thresholds of adaptive execution; the site-period table is staged for it.
     """
     periods = stage(_periods(panel, spec), "periods")
     pairs = _with_last_pair(flag_lone_obs(panel, spec, periods), spec)
-    ends = _on_site_period(pairs, panel, spec, periods, lag).withColumns(
+    if crowded is None:
+        joined = _on_site_period(pairs, panel, spec, periods, lag)
+    else:
+        per_site = stage(site_periods(panel, spec, periods, lag), "site-periods")
+        joined = join_crowded(pairs, per_site, [spec.site, spec.index], F.col("_rows") > crowded, [spec.owner])
+    ends = joined.withColumns(
         {
             "flag_end_sitexmech": _end_column(spec),
             "method": _method_column(),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,28 @@ def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return checked.select(*keys, "_row.*")
 
 
+def join_crowded(rows: DataFrame, dim: DataFrame, keys: list[str], crowded: Column, spread: list[str], most: int = 100_000) -> DataFrame:
+    """Inner join with a table of one row per key, in which the rows of a crowded key spread over all tasks.
+
+    ``crowded`` marks the rows of ``dim`` whose key very many rows have.  They are counted;
+    up to ``most`` of them are broadcast, and rows that have met theirs are dealt by ``spread``
+    as well in the join with the other keys.  With none or more it is a plain join.  ``dim``
+    is read more than once and should be a written table.  Null keys match nothing.
+    """
+    hot = dim.where(crowded)
+    if not 0 < hot.limit(most + 1).count() <= most:
+        return rows.join(dim, keys)
+    attrs = F.struct(*[c for c in dim.columns if c not in keys])
+    marked = rows.dropna(subset=keys).join(F.broadcast(hot.select(*keys, attrs.alias("_hot"))), keys, "left")
+    salt = F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*spread))
+    # a column, not a constant: a constant would be taken out of the keys that rows are dealt by
+    plain = F.when(crowded, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    cold = dim.select(*keys, plain.alias("_salt"), attrs.alias("_cold"))
+    joined = marked.withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
+    found = joined.withColumn("_found", F.coalesce("_hot", "_cold")).where(F.col("_found").isNotNull())
+    return found.select(*keys, *[c for c in rows.columns if c not in keys], "_found.*")
+
+
 def replace_by_label(df: DataFrame, dim: DataFrame, col: str, dim_key: str, label: str) -> DataFrame:
     """Replace an id column by its label from a dimension."""
     right = dim.select(F.col(dim_key).alias(col), F.col(label).alias("_label"))

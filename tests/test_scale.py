@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwise.operators import grid, selection
+from panelwise.operators.flags import flag_panel
 from panelwise.operators.groups import add_cum_share, display_rank, list_rank, running_sum, shares_of, top_n_ties
-from panelwise.operators.joins import anti_join, difference
+from panelwise.operators.joins import anti_join, difference, join_crowded
 from panelwise.operators.selection import exact_median, nth_value
 from panelwise.operators.sketches import distinct_sketches, merged_count
 from panelwise.plans import catalog
@@ -209,3 +210,42 @@ def test_sketches_of_parts_count_the_whole(spark):
     parts = {r.part: r.n for r in merged_count(sketches, ["part"]).collect()}
     exact = {r.part: r.n for r in df.groupBy("part").agg(F.countDistinct(F.struct("k", "g")).alias("n")).collect()}
     assert all(abs(parts[p] - n) < 0.06 * n for p, n in exact.items())
+
+
+# -- crowded keys -------------------------------------------------------------
+
+
+def test_flags_of_a_crowded_site_period(spark):
+    """A site-period with a third of all rows: the same flags, whether split off or not."""
+    draw = random.Random(5)
+    rows = [("hot", f"o{i}", "g", "u", 8004, 1.0) for i in range(400)] + [("hot", "o1", "g", "u", 8005, 2.0), ("hot", "o1", "g", "u", 8003, None)]
+    seen = {(f"s{draw.randrange(90)}", f"o{draw.randrange(4)}", 8000 + draw.randrange(8)) for _ in range(900)}
+    rows += [(s, o, "g", "u", p, None if draw.random() < 0.1 else 1.0) for s, o, p in sorted(seen)]
+    schema = "orgunituid string, mech_code string, fundingagency string, operatingunit string, period_idx int, value double"
+    panel = stage(spark.createDataFrame(rows, schema), "crowded-panel")
+    want = sorted(map(str, flag_panel(panel).collect()))
+    assert len(want) > 1000
+    for bound in (100, 3, 10**6):  # one crowded key, many, none
+        assert sorted(map(str, flag_panel(panel, stage=stage, crowded=bound).collect())) == want
+
+
+def test_rows_of_a_crowded_key_spread(spark):
+    hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
+    rows = stage(spark.range(60_000).select(hot.alias("k"), F.col("id").alias("owner")), "crowded-rows")
+    rows = rows.unionByName(spark.range(10).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("owner")))
+    dim = stage(rows.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n")), "crowded-dim")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sizes = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        split = join_crowded(rows, dim, ["k"], F.col("n") > 1000, ["owner"])
+        even, uneven = sizes(split), sizes(rows.join(dim, "k"))
+        assert sum(even) == sum(uneven) == 60_000
+        assert even[-1] <= 2 * even[len(even) // 2] < uneven[-1]
+        same = ["k", "owner", "n"]
+        assert split.select(same).exceptAll(rows.join(dim, "k").select(same)).isEmpty()
+        assert sizes(join_crowded(rows, dim, ["k"], F.col("n") > 1, ["owner"], most=5)) == uneven  # too many to broadcast
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
