@@ -263,6 +263,12 @@ def part_supplier_flags(spark, d):
     return _labelled(pipeline.flags_stage(tb.lineitem_panel(spark, d)))
 
 
+def crowded_supplier_flags(spark, d):
+    """The same flags; rows of part-periods with several rows are dealt by supplier as well."""
+    panel = stage(tb.lineitem_panel(spark, d), "panel")
+    return _labelled(fl.flag_panel(panel, stage=stage, crowded=1))
+
+
 def part_supplier_net_change(spark, d):
     return _labelled(pipeline.net_change_stage(tb.lineitem_panel(spark, d)))
 
@@ -633,6 +639,7 @@ def queries() -> dict[str, Query]:
         "method_validity": method_validity,
         "attach_metadata": attach_metadata,
         "part_supplier_flags": part_supplier_flags,
+        "crowded_supplier_flags": crowded_supplier_flags,
         "part_supplier_net_change": part_supplier_net_change,
         "ends_out": ends_out,
         "ever_multi_sites": ever_multi_sites,

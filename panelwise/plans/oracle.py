@@ -554,6 +554,7 @@ WHERE value IS NOT NULL OR before IS NOT NULL""",
         "method_validity": q(f"SELECT {PAIR}, method, vlc_valid FROM flags", *BASE),
         "attach_metadata": q("SELECT * EXCLUDE (period_idx) FROM flagged", *REVIEW),
         "part_supplier_flags": q("SELECT * EXCLUDE (period_idx) FROM flags", ITEMS_PANEL, FLAGS),
+        "crowded_supplier_flags": q("SELECT * EXCLUDE (period_idx) FROM flags", ITEMS_PANEL, FLAGS),
         "part_supplier_net_change": q(
             f"SELECT {PAIR}, fundingagency, {MEASURES}, {FLAG_LIST} FROM nn", ITEMS_PANEL, FLAGS, NET
         ),
