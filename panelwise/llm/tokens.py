@@ -20,6 +20,7 @@ order to number the ids: a row per partition.
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import zlib
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from panelwise.llm.base import quoted, run_folder, stage
 
 MAGIC, BLOCK, FILE_IDS = b"TOKBITS1", 4096, 1 << 21
-CACHED_PIECES, SLICE = 300_000, 1 << 20
+CACHED_PIECES, SLICE, ROWS = 300_000, 1 << 20, 1024
 SUFFIX = ".tokbits"
 # Characters whose class every version of Unicode agrees on: ASCII text, Latin letters, common signs.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -182,6 +183,7 @@ def worker_encoder(path: str) -> Encoder:
     Functions of this package come to a worker by value, once for each task, so the
     encoder is kept where tasks do not replace it.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores have tasks of their own; threads would keep memory each
     kept = sys.modules.setdefault("panelwise_llm_encoders", ModuleType("panelwise_llm_encoders")).__dict__
     if path not in kept:
         kept[path] = Encoder(path)
@@ -246,7 +248,8 @@ def write_tokens(
             doc_ids.clear()
             ids.clear()
 
-        for batch in batches:
+        # a batch holds thousands of texts: only a few are Python objects at a time
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             keys = iter(batch.column("id").to_pylist())
             for texts in _slices(batch.column("text").to_pylist()):
                 for coded in encoder.encode(texts):

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from panelwise.llm import tokens
 from panelwise.llm.queries import op6_tokens
 from panelwise.llm.tokens import _DOUBTFUL, BLOCK, Encoder, TokenFile, new_folder, pack, read_tokens, to_file, unpack, vocabulary_bits, write_tokens
 
@@ -99,3 +100,15 @@ def test_odd_documents(spark, odd, none):
     assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
     assert read_tokens(spark, folder, write_tokens(none, new_folder(spark), PATH)).count() == 0
     assert vocabulary_bits(PATH) == 16
+
+
+def test_texts_of_a_batch_become_objects_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """The files are the same whatever number of rows is taken from a batch at once."""
+    docs = spark.createDataFrame([(i, None if i % 7 == 0 else f"text {i} " * (i % 5)) for i in range(60)], "doc_id long, text string")
+    found = []
+    for rows in (1, 7, 1024):
+        monkeypatch.setattr(tokens, "ROWS", rows)
+        folder = str(tmp_path / str(rows))
+        files = write_tokens(docs, folder, PATH, partitions=2)
+        found.append(sorted(map(tuple, read_tokens(spark, folder, files).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60
