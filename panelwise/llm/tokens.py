@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from panelwise.llm.base import quoted, run_folder, stage
 
 MAGIC, BLOCK, FILE_IDS = b"TOKBITS1", 4096, 1 << 21
-CACHED_PIECES, SLICE, ROWS = 300_000, 1 << 20, 1024
+CACHED_PIECES, SLICE, ROWS = 500_000, 1 << 20, 1024
 SUFFIX = ".tokbits"
 # Characters whose class every version of Unicode agrees on: ASCII text, Latin letters, common signs.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
