@@ -11,6 +11,7 @@ from panelwise.functions.columns import comma_text, false_if_null, indicator_cod
 from panelwise.operators.groups import display_rank, last_value_of_group, sum0_by
 from panelwise.operators.joins import enrich, join_nullsafe
 from panelwise.operators.shape import quarters_to_periods, stack, to_wide
+from panelwise.sources.stages import tasks_of
 from panelwise.spec import (
     AGENCY_NAMES,
     DEFAULT_SPEC,
@@ -24,14 +25,17 @@ RATIO_COLUMNS = ["tx_pvls", "tx_pvls_d"]
 
 
 def widen_ratio(
-    vl: DataFrame, owner_dim: DataFrame | None = None, spec: PanelSpec = DEFAULT_SPEC
+    vl: DataFrame, owner_dim: DataFrame | None = None, spec: PanelSpec = DEFAULT_SPEC, within: bool = False
 ) -> DataFrame:
-    """Numerator and denominator as columns, one row per site, owner and period."""
+    """Numerator and denominator as columns, one row per site, owner and period.
+
+    ``within``: the rows are dealt by site and stay where they are.
+    """
     coded = vl.withColumn(
         "indicator", F.lower(indicator_code("indicator", "numeratordenom"))
     )
     keys = [c for c in vl.columns if c not in ("mech", "numeratordenom", "indicator", spec.value)]
-    wide = to_wide(coded, keys, "indicator", spec.value, RATIO_COLUMNS)
+    wide = to_wide(coded, keys, "indicator", spec.value, RATIO_COLUMNS, within=within)
     if owner_dim is None:
         return wide
     return enrich(wide.drop(*spec.owner_attrs), owner_dim, spec.owner, list(spec.owner_attrs))
@@ -43,6 +47,7 @@ def merge_ratio_numerator(
     owner_dim: DataFrame | None = None,
     spec: PanelSpec = DEFAULT_SPEC,
     stage=lambda df, name: df,
+    within: bool = False,
 ) -> DataFrame:
     """Full join on all shared columns, null keys matching null keys.
 
@@ -50,9 +55,14 @@ def merge_ratio_numerator(
     site-period's validity (true if it has none) when such a row is a negative
     correction and none lacks a denominator; else false.  Only rows without validity are
     aggregated for that, and only the site-periods they concern are read again.
+
+    ``within``: both tables are dealt by site (``stage_by``) and no site is crowded.  Then rows
+    move once, by site, and nothing is written in between.
     """
-    wide = widen_ratio(vl, owner_dim, spec)
+    wide = widen_ratio(vl, owner_dim, spec, within)
     shared = [c for c in wide.columns if c in nn.columns]
+    if within:
+        return _merge_within(nn, wide, shared, spec)
     merged = stage(join_nullsafe(nn, wide, shared, "full"), "ratio_merge")
     valid, den = F.col("vlc_valid"), F.col("tx_pvls_d")
     missing = valid.isNull()
@@ -75,6 +85,36 @@ def merge_ratio_numerator(
     return out.select(*[changed.get(c, F.col(c)) for c in columns])
 
 
+def _merge_within(nn: DataFrame, wide: DataFrame, shared: list[str], spec: PanelSpec) -> DataFrame:
+    """The merge inside the site: rows of both tables meet in groups, null keys with null keys.
+
+    Both tables have one row per key, so a group's first values are those of its two rows.
+    They are dealt by site alone, which is what windows and the join with the sites' paths need.
+    """
+    valid, missing, den = F.col("vlc_valid"), F.col("vlc_valid").isNull(), F.col("tx_pvls_d")
+    columns = [*nn.columns, *[c for c in wide.columns if c not in nn.columns]]
+    cells = {c: F.first(c, ignorenulls=True) for c in columns if c not in shared}
+    named = F.concat_ws(", ", *[F.col(c).cast("string") for c in shared])
+    cells["vlc_valid"] = F.when(
+        F.count("_nn") > 1, F.raise_error(F.concat(F.lit(f"several rows for {shared} = "), named))
+    ).otherwise(cells["vlc_valid"])
+    both = stack(nn.withColumn("_nn", F.lit(1)), wide).repartition(tasks_of(nn.sparkSession), spec.site)
+    merged = both.groupBy(*shared).agg(*[v.alias(c) for c, v in cells.items()])
+    w = W.partitionBy(spec.site, spec.index)
+    concerned = (
+        F.col(spec.site).isNotNull()
+        & F.col(spec.index).isNotNull()
+        & (F.count_if(missing & den.isNull()).over(w) == 0)
+        & (F.count_if(missing & (den < 0)).over(w) > 0)
+    )
+    fill = concerned & F.coalesce(F.max(valid).over(w), F.lit(True))
+    changed = {
+        "vlc_valid": F.coalesce(valid, fill).alias("vlc_valid"),
+        "method": F.coalesce(F.col("method"), F.lit(NO_STOCK)).alias("method"),
+    }
+    return merged.select(*[changed.get(c, F.col(c)) for c in columns])
+
+
 def ratio_aggregate(
     wide: DataFrame,
     spec: PanelSpec = DEFAULT_SPEC,
