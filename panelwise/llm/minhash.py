@@ -44,7 +44,7 @@ SEED = 42
 SMALL, LARGEST = 8, 1024  # classes of a bucket whose pairs are all verified, in the first round and at most
 EMPTY = np.uint64(2**64 - 1)
 GOLDEN = 0x9E3779B97F4A7C15
-CELLS = 1 << 21  # shingles that are sketched together
+CELLS = 1 << 19  # shingles that are sketched together
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -102,15 +102,26 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    start, cells = 0, 0
-    for i, n in enumerate(sizes):
-        if cells + n > CELLS and i > start:
-            yield start, i
-            start, cells = i, 0
-        cells += n
-    if sizes:
-        yield start, len(sizes)
+def _runs(texts: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
+    """Sets of the texts in order, some at a time: up to ``CELLS`` shingles and one text more.
+
+    A batch may hold 10,000 long texts; only those of a run are objects at once.
+    """
+    run, cells = [], 0
+    for t in texts.cast(pa.binary()):
+        run.append(shingle_set(t.as_py() or b"", words))
+        cells += len(run[-1])
+        if cells >= CELLS:
+            yield run
+            run, cells = [], 0
+    if run:
+        yield run
+
+
+def _lists(values: list[np.ndarray], lengths: list[int]) -> pa.Array:
+    """Lists of these lengths over the values, one after the other."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
 
 
 def _sketched(words: int, bands: int, rows: int):
@@ -119,15 +130,13 @@ def _sketched(words: int, bands: int, rows: int):
     @F.arrow_udf("struct<class: binary, n: long, bands: array<long>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            sets = [shingle_set(t or b"", words) for t in texts.cast(pa.binary()).to_pylist()]
-            sizes = [len(s) for s in sets]
-            keys = np.zeros((len(sets), bands), np.uint64)
-            for start, end in _runs(sizes):
-                some = [i for i in range(start, end) if sizes[i]]
-                keys[some] = band_keys(sketches([sets[i] for i in some], bands * rows), bands, rows)
-            offsets = np.concatenate([[0], np.cumsum(np.where(np.array(sizes) > 0, bands, 0))])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[np.array(sizes) > 0].ravel().view(np.int64)))
-            names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            names, sizes, keys = [], [], []
+            for run in _runs(texts, words):
+                full = [s for s in run if len(s)]
+                keys.append(band_keys(sketches(full, bands * rows), bands, rows).ravel().view(np.int64))
+                names += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in run]
+                sizes += map(len, run)
+            lists = _lists(keys, [bands if n else 0 for n in sizes])
             yield pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists], ["class", "n", "bands"])
 
     return of
@@ -136,9 +145,11 @@ def _sketched(words: int, bands: int, rows: int):
 def _sets(words: int):
     @F.arrow_udf("array<long>")
     def of(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t or b"", words).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+        values, sizes = [], []
+        for run in _runs(texts, words):
+            values.append(np.concatenate(run).view(np.int64))
+            sizes += map(len, run)
+        return _lists(values, sizes)
 
     return of
 

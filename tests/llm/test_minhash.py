@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelwise.llm import minhash
@@ -57,6 +59,23 @@ def test_sketches_fill_and_estimate():
     assert len(np.unique(band_keys(found, 16, 5))) > 16
 
 
+def test_a_batch_of_long_texts_is_not_held_whole(spark, monkeypatch):
+    """Texts become objects and sets a run at a time, and runs change no answer."""
+    texts = [None, "", "one", *(" ".join(f"t{i}w{j}" for j in range(500)) for i in range(400)), " \n"]
+    batch = pa.array(texts)
+    whole = next(minhash._sketched(3, 32, 5).func(iter([batch]))).to_pylist()
+    sets = [shingle_set((t or "").encode()).view(np.int64).tolist() for t in texts]
+    monkeypatch.setattr(minhash, "CELLS", 4096)
+    sketched = minhash._sketched(3, 32, 5).func
+    tracemalloc.start()
+    got_runs = next(sketched(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got_runs.to_pylist() == whole and [r["n"] for r in whole] == list(map(len, sets))
+    assert minhash._sets(3).func(batch).to_pylist() == sets
+    assert most < batch.nbytes
+
+
 def test_query_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert got(op11_minhash(spark, SMALL)) == brute(docs)
