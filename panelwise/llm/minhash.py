@@ -143,13 +143,13 @@ def _sketched(words: int, bands: int, rows: int):
 
 
 def _sets(words: int):
+    """Sets of the texts; each run is handed on by itself, so that no batch of sets is as large as one of texts."""
+
     @F.arrow_udf("array<long>")
-    def of(texts: pa.Array) -> pa.Array:
-        values, sizes = [], []
-        for run in _runs(texts, words):
-            values.append(np.concatenate(run).view(np.int64))
-            sizes += map(len, run)
-        return _lists(values, sizes)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for run in _runs(texts, words):
+                yield _lists([s.view(np.int64) for s in run], [len(s) for s in run])
 
     return of
 

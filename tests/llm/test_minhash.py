@@ -72,7 +72,7 @@ def test_a_batch_of_long_texts_is_not_held_whole(spark, monkeypatch):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got_runs.to_pylist() == whole and [r["n"] for r in whole] == list(map(len, sets))
-    assert minhash._sets(3).func(batch).to_pylist() == sets
+    assert [s for part in minhash._sets(3).func(iter([batch])) for s in part.to_pylist()] == sets
     assert most < batch.nbytes
 
 
