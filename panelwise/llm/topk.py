@@ -8,15 +8,16 @@ bound of a distance.  Bounds are taken from a few segments to many; a pair whose
 is below the query's k-th best score so far is dropped, and what is left is computed
 exactly on whole numbers.
 
-Vectors and queries are packed into blocks.  Blocks of queries meet blocks of vectors by
-a join on a part number: vectors lie in one part each, queries are copied to every part.
-One block of vectors gives every query a first threshold; after that a task keeps
-a running list of the k best for each query and emits only those.
+Vectors and queries are packed into blocks.  A block of vectors lies in one part, blocks of
+queries are copied to every part, and a part is a task: it reads its queries first, then one
+block of vectors after the other, so no pair of blocks is ever a row.  Queries beyond
+HELD_BLOCKS blocks go in further rounds, to which the vectors are copied as well.  One
+block of vectors gives every query a first threshold; after that a task keeps a running
+list of the k best for each query and emits only those.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,7 @@ from panelwise.llm.base import quoted, stage
 
 SEGMENTS = (4, 16, 32)  # the finest bounds prune where vectors point in all directions
 BLOCK, QUERY_BLOCK = 2048, 512
-HELD_BLOCKS = 64  # blocks of queries whose running lists a task holds
-FEW_LENGTHS = 8
+HELD_BLOCKS = 64  # deals of queries, a block each, whose running lists a task holds
 EXACT = float(1 << 53)
 PACKED = "block long, dim int, ids binary, numbers binary"
 
@@ -111,15 +111,15 @@ class _Best:
     def look(self, block: _Block) -> None:
         if not len(block.ids):
             return
-        coarse = self.queries.features[0] @ block.features[0].T
-        slack = 1e-6 + 1e-9 * np.abs(coarse)
-        for q, (own, query) in enumerate(zip(self.queries.ids, self.queries.matrix, strict=True)):
-            at = np.flatnonzero((coarse[q] + slack[q] >= self.floor[q]) & (block.ids != own))
-            for level in range(1, len(SEGMENTS)):
-                if len(at):
-                    bound = block.features[level][at] @ self.queries.features[level][q]
-                    at = at[bound + 1e-6 + 1e-9 * np.abs(bound) >= self.floor[q]]
-            self.pairs, self.computed = self.pairs + len(block.ids), self.computed + len(at)
+        near = block.ids != self.queries.ids[:, None]
+        for own, other in zip(self.queries.features, block.features, strict=True):
+            bound = own @ other.T
+            # a bound that is no number, of components whose squares overflow, leaves nothing out
+            near &= ~(bound + 1e-6 + 1e-9 * np.abs(bound) < self.floor[:, None])
+        self.pairs += near.size
+        for q, query in enumerate(self.queries.matrix):
+            at = np.flatnonzero(near[q])
+            self.computed += len(at)
             if len(at):
                 scores = np.concatenate([self.scores[q], exact_products(block.matrix[at], query)])
                 ids = np.concatenate([self.ids[q], block.ids[at]])
@@ -129,12 +129,16 @@ class _Best:
                     self.floor[q] = max(self.floor[q], float(np.nextafter(float(scores[keep[-1]]), -np.inf)))
 
 
-def _meet(pairs: DataFrame, k: int) -> DataFrame:
-    """(query block, place in it, query, vector, score) of the best in each task."""
+def _meet(queries: DataFrame, blocks: DataFrame, parts: int, rounds: int, k: int) -> DataFrame:
+    """(query block, place in it, query, vector, score) of the best in each part.
+
+    Queries are copied to all parts and lie in one round, blocks of vectors are copied to
+    all rounds and lie in one part.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[int, _Best] = OrderedDict()
-        vectors: tuple[int, _Block | None] = (-1, None)
+        held: dict[int, _Best] = {}
+        now: tuple[int, int] | None = None
 
         def emit(number: int, best: _Best) -> pa.RecordBatch:
             sizes = [len(x) for x in best.ids]
@@ -143,20 +147,32 @@ def _meet(pairs: DataFrame, k: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["query_block", "place", "query_id", "vec_id", "score"])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                number = r["query_block"]
-                if number not in held:
-                    floor = np.frombuffer(r["floor"], "<f8") if r["floor"] else None
-                    held[number] = _Best(_Block(r["dim"], r["query_ids"], r["query_numbers"]), k, floor)
-                    if len(held) > HELD_BLOCKS:
-                        yield emit(*held.popitem(last=False))
-                if vectors[0] != r["block"]:
-                    vectors = (r["block"], _Block(r["dim"], r["ids"], r["numbers"]))
-                held[number].look(vectors[1])
+            for i in range(len(batch)):
+                r = {name: batch.column(name)[i].as_py() for name in ("place", "dim", "asks", "block")}
+                if now != (r["place"], r["dim"]):
+                    for number, best in held.items():
+                        yield emit(number, best)
+                    held, now = {}, (r["place"], r["dim"])
+                if not (r["asks"] or held):
+                    continue  # vectors of a length that no query has
+                block = _Block(r["dim"], batch.column("ids")[i].as_py(), batch.column("numbers")[i].as_py())
+                if r["asks"]:
+                    floor = batch.column("floor")[i].as_py()
+                    held[r["block"]] = _Best(block, k, np.frombuffer(floor, "<f8") if floor else None)
+                else:
+                    for best in held.values():
+                        best.look(block)
         for number, best in held.items():
             yield emit(number, best)
 
-    return pairs.mapInArrow(look, "query_block long, place long, query_id long, vec_id long, score long")
+    def to_all(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asking = queries.withColumn("asks", F.lit(True)).withColumn("part", to_all(parts))
+    asked = blocks.withColumns({"asks": F.lit(False), "floor": F.lit(None).cast("binary")}).withColumn("round", to_all(rounds))
+    rows = asking.unionByName(asked).withColumn("place", F.col("part") * rounds + F.col("round")).drop("part", "round")
+    dealt = rows.repartitionById(parts * rounds, "place").sortWithinPartitions("place", "dim", F.desc("asks"), "block")
+    return dealt.mapInArrow(look, "query_block long, place long, query_id long, vec_id long, score long")
 
 
 def exact_top_k(
@@ -180,17 +196,18 @@ def exact_top_k(
     spark = vectors.sparkSession
     rows = vectors.select(quoted(id_col).cast("long").alias("id"), quoted(vector_col).alias("vector"), is_query.alias("asks"))
     asking = rows.where("asks").select("id", "vector")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = stage(_packed(rows.select("id", "vector"), BLOCK, scale), "vector-blocks")
-    asked = asking.repartition(max(1, -(-asking.count() // QUERY_BLOCK)))
-    queries = stage(_packed(asked, QUERY_BLOCK, scale), "query-blocks").select(
-        F.col("block").alias("query_block"), "dim", F.col("ids").alias("query_ids"), F.col("numbers").alias("query_numbers")
-    )
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, blocks.count()))
+    deals = max(1, -(-asking.count() // QUERY_BLOCK))
+    rounds = -(-deals // HELD_BLOCKS)
+    # a block's number is its task's and its place in it; a query block's task is its deal
+    task, turn = F.shiftrightunsigned("block", 32), F.col("block").bitwiseAND((1 << 32) - 1)
+    queries = stage(_packed(asking.repartition(deals), QUERY_BLOCK, scale), "query-blocks")
 
     # One block of vectors of each length gives a first threshold to all queries.
-    first = blocks.groupBy("dim").agg(F.min_by(F.struct("block", "ids", "numbers"), "block").alias("b")).select("dim", "b.*")
-    few = first.count() <= FEW_LENGTHS  # then at most as many blocks are broadcast
-    pilot = _meet(queries.withColumn("floor", F.lit(None).cast("binary")).join(F.broadcast(first) if few else first, "dim"), k)
+    least = blocks.groupBy("dim").agg(F.min("block").alias("block"))
+    first = blocks.join(least, ["block", "dim"], "left_semi").withColumn("part", F.lit(0))
+    pilot = _meet(queries.withColumns({"floor": F.lit(None).cast("binary"), "round": task.cast("int")}), first, 1, deals, k)
     ranked = pilot.withColumn("nth", F.row_number().over(Window.partitionBy("query_block", "place").orderBy(F.desc("score"), "vec_id")))
     floors = ranked.where(F.col("nth") == k).groupBy("query_block").agg(F.collect_list(F.struct("place", "score")).alias("floors"))
 
@@ -204,11 +221,13 @@ def exact_top_k(
             out.append(floor.astype("<f8").tobytes())
         return pa.array(out, pa.binary())
 
-    floored = queries.join(floors, "query_block", "left").withColumn("floor", as_floor("floors", "query_ids")).drop("floors")
-    copies = stage(floored, "query-floors").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    # a block's number is its task's and its place in it: their sum deals out few blocks of many tasks and many of few
-    turn = F.shiftrightunsigned("block", 32) + F.col("block").bitwiseAND((1 << 32) - 1)
-    dealt = blocks.withColumn("part", F.pmod(turn, F.lit(parts)).cast("int"))
-    best = _meet(copies.join(dealt, ["part", "dim"]).drop("part"), k)
+    floored = queries.join(floors, queries["block"] == floors["query_block"], "left").withColumn("floor", as_floor("floors", "ids"))
+    copies = stage(floored.drop("floors", "query_block"), "query-floors").withColumn("round", F.pmod(task, F.lit(rounds)).cast("int"))
+    # parts get blocks in turn, whether many tasks packed few or few packed many; the window has a row a task
+    sizes = blocks.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
+    numbered = blocks.withColumn("task", task).join(F.broadcast(before), "task")
+    dealt = numbered.withColumn("part", F.pmod(F.col("before") + turn, F.lit(parts)).cast("int")).drop("task", "before")
+    best = _meet(copies, dealt, parts, rounds, k)
     rank = F.row_number().over(Window.partitionBy("query_block", "place").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -67,3 +68,16 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in exact_top_k(df, F.col("vec_id") % 100 == 0).collect())
     assert got == sorted([(100, n, 1, 1 << 20) for n in (1, 2)] * 2)
+
+
+def test_blocks_meet_in_rounds(spark, monkeypatch):
+    """Queries beyond a round's deals, vectors of several parts, a bound that overflows, and no join of blocks."""
+    for name, size in (("BLOCK", 16), ("QUERY_BLOCK", 3), ("HELD_BLOCKS", 2)):
+        monkeypatch.setattr(topk, name, size)
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in draw.integers(-3, 4, 8) / 64]) for i in range(0, 4000, 10)]
+    rows += [(4100, [1e200, -1e200]), (4101, [1e200, 1e200])]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7), F.col("vec_id") % 100 == 0)
+    joins = re.findall(r"(\w+Join) \[(\w+)#", got._jdf.queryExecution().executedPlan().toString())
+    assert joins == [("BroadcastHashJoin", "task")], joins  # of the counts of blocks; blocks are dealt
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
