@@ -206,7 +206,7 @@ def exact_top_k(
 
     # One block of vectors of each length gives a first threshold to all queries.
     least = blocks.groupBy("dim").agg(F.min("block").alias("block"))
-    first = blocks.join(least, ["block", "dim"], "left_semi").withColumn("part", F.lit(0))
+    first = blocks.join(F.broadcast(least), ["block", "dim"], "left_semi").withColumn("part", F.lit(0))
     pilot = _meet(queries.withColumns({"floor": F.lit(None).cast("binary"), "round": task.cast("int")}), first, 1, deals, k)
     ranked = pilot.withColumn("nth", F.row_number().over(Window.partitionBy("query_block", "place").orderBy(F.desc("score"), "vec_id")))
     floors = ranked.where(F.col("nth") == k).groupBy("query_block").agg(F.collect_list(F.struct("place", "score")).alias("floors"))
